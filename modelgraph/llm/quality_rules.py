@@ -140,7 +140,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
     The sample is measured on the executors; one row a rule comes back."""
     sample = docs.select(text).sample(0.2, seed=7).limit(sample_rows)
-    stats = sample.mapInArrow(lambda it: _measure(it, rules, text), "rule int, seconds double, rejected long, n long")
+    stats = sample.mapInArrow(lambda it: _measure(it, rules, text), "rule long, seconds double, rejected long, n long")
     found = {r["rule"]: r for r in stats.groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("k")).collect()}
     if len(found) < len(rules):
         return tuple(rules)
