@@ -154,20 +154,20 @@ def cascade(d: Document, rules: tuple[Rule, ...]) -> str | None:
 
 
 def _judge(batches: Iterable[pa.RecordBatch], rules: tuple[Rule, ...], text: str, schema: pa.Schema, measures: bool) -> Iterator[pa.RecordBatch]:
+    """The input's columns with the verdict; or its first column, the measures
+    and the verdict."""
     base = [r for r in rules if r.base]
+    names = [*MEASURES, "base_failed", "rule_rejected_by"] if measures else ["rule_rejected_by"]
     for batch in batches:
-        out: dict[str, list] = {f.name: [] for f in schema if f.name.startswith("rule_") or measures}
+        rows = []
         for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
             d = Document(value)
             by = cascade(d, rules)
-            out["rule_rejected_by"].append(by)
-            if measures:
-                for m in MEASURES:
-                    out[m].append(getattr(d, m))
-                out["base_failed"].append(any(r.rejects(d) for r in base))
-        new = [pa.array(out[f.name], f.type) for f in schema if f.name in out]
-        kept = [batch.column(i) for i in range(batch.num_columns)] if not measures else [batch.column(0)]
-        yield pa.RecordBatch.from_arrays([*kept, *new], schema=schema)
+            rows.append([*[getattr(d, m) for m in MEASURES], any(r.rejects(d) for r in base), by] if measures else [by])
+        first = batch.columns[:1] if measures else batch.columns
+        types = [f.type for f in schema][len(first):]
+        new = [pa.array([r[k] for r in rows], types[k]) for k in range(len(names))]
+        yield pa.RecordBatch.from_arrays([*first, *new], names=[f.name for f in schema])
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
