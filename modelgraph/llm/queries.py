@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, quality_classifier, quality_rules
+from . import html_extraction, packing, quality_classifier, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op6_html_extraction": html_extraction.op6_html_extraction,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
