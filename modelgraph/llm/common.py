@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
     for batch in batches:
         array = batch.column(batch.schema.get_field_index(column))
         start = size = 0
-        for i, n in enumerate(pa.compute.binary_length(array).to_pylist()):
+        for i, n in enumerate(pc.binary_length(array).to_pylist()):
             if i > start and size + (n or 0) > limit:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
