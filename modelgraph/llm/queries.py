@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, packing, quality_classifier, quality_rules, token_files
+from . import html_extraction, mixing, packing, quality_classifier, quality_rules, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing_sources": mixing.op1_mixing_sources,
         "op2_huffman_token_files": token_files.op2_huffman_token_files,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op6_html_extraction": html_extraction.op6_html_extraction,
