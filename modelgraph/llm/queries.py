@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files
+from . import html_extraction, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing_sources": mixing.op1_mixing_sources,
         "op2_huffman_token_files": token_files.op2_huffman_token_files,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
         "op5_ngram_jaccard_join": ngram_join.op5_ngram_jaccard_join,
         "op6_html_extraction": html_extraction.op6_html_extraction,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
