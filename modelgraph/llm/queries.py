@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_extraction, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_files
+from . import embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,9 +21,10 @@ def queries() -> dict[str, Query]:
         "op6_html_extraction": html_extraction.op6_html_extraction,
         "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_substring_dedup": line_dedup.op9_substring_dedup,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.OP3_SQL, "op5_ngram_jaccard_join": ngram_join.OP5_SQL, "op7_embedding_near_dedup": embedding_dedup.OP7_SQL}
+    return {"op3_quality_rules": quality_rules.OP3_SQL, "op5_ngram_jaccard_join": ngram_join.OP5_SQL, "op7_embedding_near_dedup": embedding_dedup.OP7_SQL, "op9_substring_dedup": line_dedup.OP9_SQL}
