@@ -1,22 +1,52 @@
 """The corpus pipeline: quality rules, near-duplicate removal, repeated passages,
-mixing, packing.  Each stage is written as Parquet and read again by the next."""
+mixing to target weights, packing.  Each stage is written as Parquet and read
+again by the next; all but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgraph.llm import quality_rules
+from modelgraph.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 from modelgraph.llm.common import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects, with the columns they came with."""
+    """Documents that no rule rejects."""
     judged = quality_rules.apply_rules(docs)
     return judged.filter(F.col("rule_rejected_by").isNull()).drop("rule_rejected_by")
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 % of its five-word shingles."""
+    return ngram_join.representatives(docs, k=5, num=80, den=100)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 100-byte strings that start earlier elsewhere; a
+    character that a cut leaves incomplete goes as well."""
+    names = docs.columns
+    out = suffix_dedup.deduplicated(docs, [c for c in names if c != "text"]).withColumnRenamed("kept_text", "text")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(names)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, one row for each pass."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with the sequence and offset they are packed at."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixture", mixture),
+    ("packing", packed),
+]
 
 #: Several stages aren't expressible in SQL.
 ORACLE_SQL = None

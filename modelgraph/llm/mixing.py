@@ -126,37 +126,55 @@ def plan(sources: DataFrame) -> DataFrame:
     return out.select("shard", "base", "pass", "block", F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, rest)).cast("long").alias("length"))
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, source, size) of each document."""
-    return docs.select("doc_id", "source", word_count(F.col(text)).alias("size"))
+def sized(docs: DataFrame, text: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, source, size) of each document, with the whole row if ``carry``."""
+    columns = [F.col("doc_id"), F.col("source"), word_count(F.col(text)).alias("size")]
+    return docs.select(*columns, *[F.struct("*").alias("row")] * carry)
 
 
 def placed(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in the run of all words by source, and the
-    sources with their targets.  ``base`` is the place where a source begins and
-    serves as its key."""
+    """Documents with their place in the run of all words by source and the
+    target of their source, and the sources.  ``base`` is the place where a
+    source begins and serves as its key."""
     sizes = running_totals(sizes, [F.col("source").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("size")], {"place": "size"}, "placed")
     sizes = stored(sizes, "places")
     sources = stored(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    return sizes, sources
+    facts = sources.select(F.col("source").alias("_source"), "base", "source_size", "target")
+    return sizes.join(facts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), sources
 
 
 def pieces(docs: DataFrame, slots: DataFrame) -> DataFrame:
     """The runs of each document's words that the mix takes, by joining blocks
-    by index: columns of ``docs`` with pass, block, from and to (words of the
-    document).  ``docs``: base, place, size; ``slots``: as ``plan`` gives."""
+    by index: place, pass, block, from and to (words of the document).
+    ``docs``: base, place, size; ``slots``: as ``plan`` gives."""
     at = F.col("place") - F.col("base")
-    cut = docs.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(at / BLOCK), F.floor((at + F.col("size") - 1) / BLOCK))))
+    docs = docs.select("base", "place", "size").filter("size > 0")
+    cut = docs.withColumn("block", F.explode(F.sequence(F.floor(at / BLOCK), F.floor((at + F.col("size") - 1) / BLOCK))))
     hit = cut.join(slots.select("base", "block", "pass", "shard", "length"), ["base", "block"])
     start = F.greatest(F.col("block") * BLOCK - at, F.lit(0))
     stop = F.least(F.col("block") * BLOCK + F.col("length") - at, F.col("size"))
     return hit.withColumns({"from": start, "to": stop}).filter(F.col("to") > F.col("from"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: for each pass over a source a row for each document
+    of which words are taken, with those words as its text (and ``n_chars`` set
+    to its length, if there is such a column); all other columns as they came."""
+    names = docs.columns
+    found, sources = placed(sized(docs, carry=True))
+    taken = pieces(found, plan(sources)).groupBy("place", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    rows = found.filter("size > 0").select("place", "row").join(taken, "place")
+    # a word with the white space behind it, so that runs join to the text as it was
+    words = F.regexp_extract_all(F.regexp_replace(F.col("row.text"), r"^[\x20\x09-\x0D]+", ""), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    rows = rows.withColumn("words", words)
+    part = lambda r: F.array_join(F.slice(F.col("words"), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), "")
+    rows = rows.withColumn("mixed", F.array_join(F.transform("runs", part), ""))
+    new = {"text": F.col("mixed")} | ({"n_chars": F.length("mixed").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
+
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, sources = placed(sized(table(spark, sf_dir, "documents")))
-    same = docs["source"].eqNullSafe(sources["source"])
-    docs = docs.join(sources.select("source", "base", "source_size", "target"), same).drop(sources["source"])
     docs = stored(docs, "with-targets")
     taken = pieces(docs, plan(sources)).groupBy("place").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
     # documents without words share a place with the next one, so they stay apart
