@@ -178,6 +178,27 @@ def _sketched(batches: Iterable[pa.RecordBatch], k: int, num: int, den: int) ->
     yield from _gathered(keys, docs)
 
 
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come dealt and sorted by (kind, a, b): keys become edges to the
+    smallest document of their run, all else is passed on."""
+    key = low = None
+    for batch in batches:
+        kind = batch.column(0).to_numpy()
+        other = np.flatnonzero(kind != KEY)
+        if len(other):
+            yield batch.take(pa.array(other))
+        here = np.flatnonzero(kind == KEY)
+        if not len(here):
+            continue
+        a, b = (batch.column(k).take(pa.array(here)).to_numpy() for k in (1, 2))
+        first = np.r_[a[0] != key, a[1:] != a[:-1]]
+        lows = np.concatenate([[b[0] if low is None else low], b[first]])[np.cumsum(first)]
+        key, low = a[-1], lows[-1]
+        pairs = np.unique(np.stack([b, lows], axis=1)[b != lows], axis=0)
+        if len(pairs):
+            yield _batch(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy())
+
+
 # -- search ---------------------------------------------------------------
 
 def search(sets: list[np.ndarray], blocks: list[int] | None, num: int, den: int, all_links: bool = False) -> list[tuple[int, int]]:
@@ -267,11 +288,10 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     those of either."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(docs.mapInArrow(lambda it: _sketched(it, k, num, den), _SKETCH), "sketch")
+    sketch = docs.mapInArrow(lambda it: _sketched(it, k, num, den), _SKETCH)
+    sketch = stored(sketch.repartition(shuffle_parts(spark), "a").sortWithinPartitions("kind", "a", "b").mapInArrow(_met, _SKETCH), "sketch")
     found = sketch.filter(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("hi"), F.col("c").alias("lo"), "n")
-    keys = sketch.filter(F.col("kind") == KEY).select(F.col("a").alias("key"), F.col("b").alias("doc"))
-    shared = keys.select(F.col("doc").alias("a"), F.min("doc").over(Window.partitionBy("key")).alias("b")).filter("a <> b")
-    edges = shared.union(sketch.filter(F.col("kind") == EDGE).select("a", "b")).distinct()
+    edges = sketch.filter(F.col("kind") == EDGE).select("a", "b")
     coarse = components(edges, "coarse")
 
     classes = stored(found.filter("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
@@ -292,6 +312,21 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     return found.join(named, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
+def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each linked group, the one with the
+    smallest doc_id; rows without doc_id stay.  All columns are kept.
+
+    Of rows that share a doc_id, one of the smallest text hash stays."""
+    found = stored(linked(docs, k, num, den), "linked")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    numbered = kept.withColumn("_nth", F.row_number().over(first))
+    return numbered.filter("doc_id IS NULL OR _nth = 1").drop("_nth")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
