@@ -44,7 +44,7 @@ SHALLOW = 32
 #: Bytes of text that a task works on at once.
 SLICE = 2_000_000
 #: Bytes of segments that a bucket holds on average.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 32_000_000
 #: Segments that a task remembers as repeated.
 HOT = 100_000
 
@@ -230,7 +230,7 @@ def _pack(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.ndarr
     import zstandard
 
     head = struct.pack("<I", len(docs)) + docs.astype("<i8").tobytes() + places.astype("<i8").tobytes() + tags.astype("<u2").tobytes() + runs.astype("u1").tobytes() + offsets.astype("u1").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + body)
+    return zstandard.ZstdCompressor(level=6).compress(head + body)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -394,13 +394,26 @@ def union(data: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(spans[new, 0].tolist(), top[np.r_[new[1:], True]].tolist(), strict=True))
 
 
+def _squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the way through the shuffle."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in chunks(batches, "text", 8_000_000):
+        texts = pa.array([None if t is None else press.compress(utf8(t)) for t in batch.column(0).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts, *batch.columns[1:]], names=["_text", *batch.schema.names[1:]])
+
+
 def _applied(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
     for whole in batches:
-        for batch in chunks([whole], "text", 16_000_000):
+        for batch in chunks([whole], "_text", 8_000_000):
             rows = []
-            texts, spans = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("_spans"))
+            texts, spans = batch.column(batch.schema.get_field_index("_text")), batch.column(batch.schema.get_field_index("_spans"))
             for text, data in zip(texts, spans, strict=True):
-                value = text.as_py()
+                value = None if text.as_py() is None else press.decompress(text.as_py()).decode("utf-8", "surrogatepass")
                 raw, gone, kept, at = utf8(value), union(data.as_py() or []), [], 0
                 for s, e in gone:
                     kept.append(raw[at:s])
@@ -433,7 +446,9 @@ def deduplicated(docs: DataFrame, carry: list[str], length: int = LENGTH) -> Dat
     dealt = dealt.repartition(max(buckets, shuffle_parts(spark)), known).sortWithinPartitions("bucket")
     spans = dealt.mapInArrow(lambda it: _sorted(it, length), _ROWS)
     spans = spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("data").alias("_spans"))
-    joined = base.join(spans, ["_doc", "_tag"], "left").select("text", "_spans", *[f"_c{k}" for k in range(len(carry))])
+    squeezed = base.select("text", *[c for c in base.columns if c != "text"])
+    fields = [T.StructField("_text", T.BinaryType()), *squeezed.schema.fields[1:]]
+    joined = squeezed.mapInArrow(_squeezed, T.StructType(fields)).join(spans, ["_doc", "_tag"], "left").select("_text", "_spans", *[f"_c{k}" for k in range(len(carry))])
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = [T.LongType()] * 3 + [T.StringType()] * 2 + [span]
     out = T.StructType([*[docs.schema[c] for c in carry], *[T.StructField(n, k) for n, k in zip(_NEW, kinds, strict=True)]])
