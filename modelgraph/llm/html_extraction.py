@@ -138,7 +138,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         drops = _drops(tag, attrs, articles > 0)
         marks = not dropped and not drops and _marks_article(tag, attrs)
         if not dropped:
-            if drops or marks:
+            if tag in RAW:
+                flush() if tag not in INLINE else None  # nothing stands there, so no gap
+            elif drops or marks:
                 gap()
             elif tag not in INLINE:
                 flush()

@@ -44,7 +44,7 @@ SHALLOW = 32
 #: Bytes of text that a task works on at once.
 SLICE = 2_000_000
 #: Bytes of segments that a bucket holds on average.
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 22_000_000
 #: Segments that a task remembers as repeated.
 HOT = 100_000
 
