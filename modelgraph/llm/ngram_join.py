@@ -4,7 +4,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles.  Equal
 sets form a class and one member stands for it.  Classes that may reach the
 threshold are brought together exactly: sets are split into parts by hash, more
 parts than two linked sets of that size class can differ in, so linked sets have
-an equal non-empty part.  Classes with an equal part share a cell.  In a cell
+an equal non-empty part.  The documents with an equal part are sieved: parity
+bitmaps of their sets bound the elements they can differ in from below, and only
+what passes the bound is connected.  Classes so connected share a cell.  In a cell
 inverted lists are searched as a T-occurrence problem with DivideSkip: the short
 lists are merged on a heap, the long ones probed by binary search, and documents
 with the required overlap are linked.  A candidate that is already connected
@@ -42,6 +44,10 @@ RATIO = 1.6
 BLOCK_TOKENS = 300_000
 #: Weight of list length in DivideSkip's choice of the long lists.
 MU = 0.0085
+#: Documents with an equal part within a task from which on only the smallest is
+#: sent, and overall from which on they are connected without a sieve.
+COMBINE = 64
+SIEVE = 4096
 #: Part keys that a task gathers before it writes them out.
 GATHER = 1_500_000
 
@@ -119,6 +125,55 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity_bits(s: np.ndarray, num: int, den: int) -> bytes:
+    """For each of a power of two of slots, whether an odd number of elements
+    fall there.  Two sets differ in at least as many elements as their bitmaps
+    do in bits; a longer bitmap folds to a shorter one."""
+    slots = 64
+    while slots < 4 * differ(len(s), len(s), num, den) and slots < 1 << 15:
+        slots *= 2
+    odd = np.bincount((_mix(s) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sieve(sizes: np.ndarray, bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs that may reach the threshold, as many as connect all such pairs."""
+    order = np.argsort(sizes, kind="stable")
+    root = list(range(len(bits)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    folded: dict[int, np.ndarray] = {}
+
+    def at(width: int) -> np.ndarray:
+        if width not in folded:
+            rows = []
+            for b in bits:
+                x = np.frombuffer(b, np.uint8)
+                while len(x) > width:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                rows.append(x if len(x) == width else np.zeros(width, np.uint8))
+            folded[width] = np.stack(rows)
+        return folded[width]
+
+    links = []
+    for k, i in enumerate(order.tolist()):
+        near = order[:k][den * sizes[order[:k]] >= num * sizes[i]]
+        for width in {len(bits[j]) for j in near.tolist()}:
+            same = near[[len(bits[j]) == width for j in near.tolist()]]
+            table = at(min(width, len(bits[i])))
+            apart = np.bitwise_count(table[same] ^ table[i]).sum(axis=1)
+            for j in same[apart <= (sizes[same] + sizes[i]) * (den - num) // (den + num)].tolist():
+                if find(i) != find(j):
+                    root[find(i)] = find(j)
+                    links.append((i, j))
+    return links
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     import xxhash
 
@@ -128,19 +183,20 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 # -- candidates -----------------------------------------------------------
 
-DOC, KEY, EDGE = 0, 1, 2
-_SKETCH = "kind long, a long, b long, c long, n long"
+DOC, KEY, EDGE, MEMBER = 0, 1, 2, 3
+_SKETCH = "kind long, a long, b long, c long, n long, bits binary"
 
 
-def _batch(kind: int, a: object, b: object, c: object = None, n: object = None) -> pa.RecordBatch:
+def _batch(kind: int, a: object, b: object, c: object = None, n: object = None, bits: object = None) -> pa.RecordBatch:
     size = len(a)  # type: ignore[arg-type]
     column = lambda x: pa.nulls(size, pa.int64()) if x is None else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int64()), column(a), column(b), column(c), column(n)], names=["kind", "a", "b", "c", "n"])
+    last = pa.nulls(size, pa.binary()) if bits is None else pa.array(bits, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int64()), column(a), column(b), column(c), column(n), last], names=["kind", "a", "b", "c", "n", "bits"])
 
 
 def _gathered(keys: list[np.ndarray], docs: list[int]) -> Iterator[pa.RecordBatch]:
-    """Combine a task's keys: one row for each key, with its smallest document,
-    and edges between the documents that share one within the task."""
+    """A task's keys.  Where very many of its documents share one, only the
+    smallest is sent and the others are connected with it."""
     if not keys:
         return
     key = np.concatenate(keys)
@@ -148,9 +204,12 @@ def _gathered(keys: list[np.ndarray], docs: list[int]) -> Iterator[pa.RecordBatc
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    low = np.repeat(doc[first], np.diff(np.r_[first, len(key)]))
-    yield _batch(KEY, key[first].view(np.int64), doc[first])
-    pairs = np.unique(np.stack([doc, low], axis=1)[doc != low], axis=0)
+    size = np.diff(np.r_[first, len(key)])
+    many = np.repeat(size > COMBINE, size)
+    low = np.repeat(doc[first], size)
+    send = ~many | (doc == low)
+    yield _batch(KEY, key[send].view(np.int64), doc[send])
+    pairs = np.unique(np.stack([doc, low], axis=1)[many & (doc != low)], axis=0)
     if len(pairs):
         yield _batch(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy())
 
@@ -165,7 +224,7 @@ def _sketched(batches: Iterable[pa.RecordBatch], k: int, num: int, den: int) ->
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = shingles(text, k)
             key = set_key(s)
-            rows.append((doc_id, *key, len(s)))
+            rows.append((doc_id, *key, len(s), parity_bits(s, num, den)))
             if len(s) and doc_id is not None and key not in seen:
                 seen.add(key)
                 keys.append(part_keys(s, num, den))
@@ -179,9 +238,28 @@ def _sketched(batches: Iterable[pa.RecordBatch], k: int, num: int, den: int) ->
 
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come dealt and sorted by (kind, a, b): keys become edges to the
-    smallest document of their run, all else is passed on."""
-    key = low = None
+    """Rows come dealt and sorted by (kind, a, b).  The documents of a key are
+    the members of a group named by their list, so that the many keys that near
+    copies share name one group; all else is passed on."""
+    import xxhash
+
+    key, run = None, np.empty(0, dtype=np.int64)
+    named: set[int] = set()
+
+    def done(docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        docs = np.unique(docs)
+        if len(docs) < 2:
+            return
+        if len(docs) > SIEVE:
+            yield _batch(EDGE, docs[1:], np.full(len(docs) - 1, docs[0]))
+            return
+        name = int.from_bytes(xxhash.xxh3_64_digest(docs.tobytes()), "little", signed=True)
+        if name not in named:
+            if len(named) > 500_000:
+                named.clear()
+            named.add(name)
+            yield _batch(MEMBER, np.full(len(docs), name), docs)
+
     for batch in batches:
         kind = batch.column(0).to_numpy()
         other = np.flatnonzero(kind != KEY)
@@ -191,12 +269,36 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(here):
             continue
         a, b = (batch.column(k).take(pa.array(here)).to_numpy() for k in (1, 2))
-        first = np.r_[a[0] != key, a[1:] != a[:-1]]
-        lows = np.concatenate([[b[0] if low is None else low], b[first]])[np.cumsum(first)]
-        key, low = a[-1], lows[-1]
-        pairs = np.unique(np.stack([b, lows], axis=1)[b != lows], axis=0)
-        if len(pairs):
-            yield _batch(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy())
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        ends = np.r_[first[1:], len(a)]
+        # single documents in the middle need no look; the first and last run may go on
+        look = np.flatnonzero((ends - first > 1) | (np.arange(len(first)) == 0) | (np.arange(len(first)) == len(first) - 1))
+        for f, e in zip(first[look].tolist(), ends[look].tolist(), strict=True):
+            if a[f] != key:
+                yield from done(run)
+                key, run = a[f], b[f:e]
+            else:
+                run = np.concatenate([run, b[f:e]])
+    yield from done(run)
+
+
+def _sieved(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (group, doc, size, bits) come sorted by group."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+    found: list[tuple[int, int]] = []
+    for _, run in itertools.groupby(rows(), key=lambda r: r[0]):
+        members = list({r[1]: r for r in run}.values())
+        links = sieve(np.array([r[2] for r in members], dtype=np.int64), [r[3] for r in members], num, den)
+        found += [(members[i][1], members[j][1]) for i, j in links]
+        if len(found) > 20_000:
+            yield _batch(EDGE, *zip(*found, strict=True))
+            found = []
+    if found:
+        yield _batch(EDGE, *zip(*found, strict=True))
 
 
 # -- search ---------------------------------------------------------------
@@ -291,7 +393,11 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     sketch = docs.mapInArrow(lambda it: _sketched(it, k, num, den), _SKETCH)
     sketch = stored(sketch.repartition(shuffle_parts(spark), "a").sortWithinPartitions("kind", "a", "b").mapInArrow(_met, _SKETCH), "sketch")
     found = sketch.filter(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("hi"), F.col("c").alias("lo"), "n")
-    edges = sketch.filter(F.col("kind") == EDGE).select("a", "b")
+    bits = sketch.filter((F.col("kind") == DOC) & F.col("a").isNotNull() & (F.col("n") > 0)).select(F.col("a").alias("doc"), F.col("n").alias("size"), "bits")
+    groups = sketch.filter(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("doc")).distinct()
+    groups = groups.join(bits, "doc").select("group", "doc", "size", "bits").repartition(shuffle_parts(spark), "group").sortWithinPartitions("group")
+    near = groups.mapInArrow(lambda it: _sieved(it, num, den), _SKETCH).select("a", "b")
+    edges = near.union(sketch.filter(F.col("kind") == EDGE).select("a", "b"))
     coarse = components(edges, "coarse")
 
     classes = stored(found.filter("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
