@@ -55,7 +55,8 @@ def _needle(base: int, needle: int, elements: tuple[str, ...], result: Type | No
 
 @function("array_contains", ["any", "any"], rule=_needle(0, 1, SCALARS, BOOL, None), doc="null if either argument is; null elements don't match")
 def _contains(a: Arguments, c: list[Column]) -> Column:
-    return F.when(c[0].isNotNull() & c[1].isNotNull(), F.coalesce(F.array_contains(c[0], c[1]), F.lit(False)))
+    v = c[1].cast(to_spark(a.types[0].element or UNKNOWN))
+    return F.when(c[0].isNotNull() & v.isNotNull(), F.coalesce(F.array_contains(c[0], v), F.lit(False)))
 
 
 def _concat_rule(a: Arguments) -> Typed:

@@ -41,7 +41,7 @@ model daily_revenue {
   join_left lineitem on orders.o_orderkey == lineitem.l_orderkey
   let day = cast(orders.o_orderdate, "date")
   let gross = cast(lineitem.l_extendedprice, "money")
-  let off = cast(coalesce(lineitem.l_discount, 0.0) * lineitem.l_extendedprice, "money")
+  let off = gross * cast(coalesce(lineitem.l_discount, 0.0), "decimal(4,2)")
   filter orders.o_orderstatus != "P"
   group {day, upper(o_orderstatus)} (
     aggregate { lines = count(lineitem.l_linenumber), orders = count(distinct o_orderkey), gross_total = sum(gross), net_total = sum(gross - off) }
@@ -50,7 +50,7 @@ model daily_revenue {
 }""", """
 SELECT CAST(o_orderdate AS DATE) AS day, upper(o_orderstatus) AS g1, count(l_linenumber) AS lines, count(DISTINCT o_orderkey) AS orders,
   CAST(sum(CAST(l_extendedprice AS DECIMAL(38,2))) AS DECIMAL(38,2)) AS gross_total,
-  CAST(sum(CAST(l_extendedprice AS DECIMAL(38,2)) - CAST(coalesce(l_discount, 0.0) * l_extendedprice AS DECIMAL(38,2))) AS DECIMAL(38,2)) AS net_total
+  CAST(sum(CAST(l_extendedprice AS DECIMAL(38,2)) - CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(coalesce(l_discount, 0.0) AS DECIMAL(4,2)) AS DECIMAL(38,2))) AS DECIMAL(38,2)) AS net_total
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2""")
 
 _add("scan_passthrough", "model scan_passthrough { from nation }", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
