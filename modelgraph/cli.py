@@ -9,10 +9,12 @@ import time
 from pathlib import Path
 
 from .errors import ModelError, PinError
+from .importer import import_project
 from .lineage import blast_radius, changes, graph
 from .lint import lint
 from .plans import Project
 from .syntax import read_module
+from .syntax.grammar import gbnf
 from .syntax.printer import module as printed
 
 
@@ -49,6 +51,8 @@ def _parser() -> argparse.ArgumentParser:
     command("diff", "changes from an older file").add_argument("old")
     command("lint", "warnings")
     command("fmt", "canonical text").add_argument("--write", action="store_true")
+    command("import", "definitions from a schema file and SQL files").add_argument("sql", nargs="*")
+    sub.add_parser("grammar", help="the language as GBNF")
     p = command("run", "compute and publish", data=True)
     p.add_argument("models", nargs="*")
     p.add_argument("--only-stale", action="store_true")
@@ -74,6 +78,12 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _run(a: argparse.Namespace) -> int:
+    if a.command == "grammar":
+        print(gbnf(), end="")
+        return 0
+    if a.command == "import":
+        print(printed(import_project(Path(a.file).read_text(), {Path(f).stem: Path(f).read_text() for f in a.sql})), end="")
+        return 0
     if a.command == "fmt":
         text = printed(read_module(Path(a.file).read_text()))
         if a.write:

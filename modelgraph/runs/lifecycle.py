@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from .. import ir
 from ..errors import ModelError, PinError
+from ..metrics import METRICS, Metrics
 from ..operators.relational import col
 from ..plans import Project
 from ..quality import hold_join, pin, run_tests
@@ -63,9 +64,9 @@ class RunResult:
 
 
 class Runner:
-    def __init__(self, project: Project, store: Store, sources: Sources, now: dt.datetime | None = None):
+    def __init__(self, project: Project, store: Store, sources: Sources, now: dt.datetime | None = None, metrics: Metrics = METRICS):
         self.project, self.store, self.sources = project, store, sources
-        self._now = now
+        self._now, self.metrics = now, metrics
 
     def now(self) -> dt.datetime:
         return self._now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -139,7 +140,8 @@ class Runner:
                 hold_join(check, get(c.inputs[0]), get(check.table), name)
             previous = self.snapshot(name) if merge and name in live and decl.incremental and self.store.exists("runs", live[name], "models", name) else None
             parts = [p.name for p in decl.partition_by if isinstance(p, ir.Ref) and p.name in c.schema]
-            made[name] = self.store.write(self._merged(name, c.lower(get), previous), folder, "models", name, partition_by=parts)
+            with self.metrics.timed("model", model=name):
+                made[name] = self.store.write(self._merged(name, c.lower(get), previous), folder, "models", name, partition_by=parts)
             if decl.contract:
                 pin(made[name], self.project.contracts[decl.contract], name)
         return made
@@ -202,6 +204,8 @@ class Runner:
             raise
         self.store.put("pending.json", json.dumps(entry, sort_keys=True))
         self.recover()
+        self.metrics.count("runs")
+        self.metrics.count("models_published", len(order))
         return RunResult(run, order, tests, reused)
 
     def recover(self) -> bool:

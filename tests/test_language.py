@@ -225,3 +225,18 @@ def test_take_range_spellings_and_builder():
     text = read_module('model x { owner: "me" from s join_left r on s.id == r.id let u = upper(a) filter n > 1 group {k} ( aggregate { c = count() } filter count() > 1 ) sort { c desc } take 5 }').models[0]
     assert m.statements == text.statements
     assert len(CATALOG) == 59
+
+
+def test_grammar_is_whole_and_metrics_render():
+    from modelgraph.metrics import Metrics
+    from modelgraph.syntax.grammar import gbnf, undefined
+
+    assert undefined() == set() and gbnf().startswith("root")
+    m = Metrics("x")
+    m.count("runs", model='a"b')
+    m.gauge("rows", 5)
+    with pytest.raises(ValueError), m.timed("job"):
+        raise ValueError
+    text = m.prometheus()
+    assert 'x_runs_total{model="a\\"b"} 1' in text and "x_rows 5" in text and "x_job_seconds_count 1" in text and "x_job_failures_total 1" in text
+    assert m.statsd()[0].startswith("x.job_failures:1|c") and '"rows"' in m.json()
