@@ -166,9 +166,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = found.filter("size > 0").select("place", "row").join(taken, "place")
     # a word with the white space behind it, so that runs join to the text as it was
     words = F.regexp_extract_all(F.regexp_replace(F.col("row.text"), r"^[\x20\x09-\x0D]+", ""), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
-    rows = rows.withColumn("words", words)
-    part = lambda r: F.array_join(F.slice(F.col("words"), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), "")
-    rows = rows.withColumn("mixed", F.array_join(F.transform("runs", part), ""))
+    # bound to a lambda variable, the words are found once a row and not once a run
+    part = lambda w, r: F.array_join(F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")), "")
+    rows = rows.withColumn("mixed", F.array_join(F.transform(F.array(words), lambda w: F.array_join(F.transform("runs", lambda r: part(w, r)), "")), ""))
     new = {"text": F.col("mixed")} | ({"n_chars": F.length("mixed").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
 

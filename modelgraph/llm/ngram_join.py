@@ -44,12 +44,9 @@ RATIO = 1.6
 BLOCK_TOKENS = 300_000
 #: Weight of list length in DivideSkip's choice of the long lists.
 MU = 0.0085
-#: Documents with an equal part within a task from which on only the smallest is
-#: sent, and overall from which on they are connected without a sieve.
-COMBINE = 64
+#: Documents with an equal part that are sieved as one group. Parts of more are
+#: common; most documents can do without theirs.
 SIEVE = 4096
-#: Part keys that a task gathers before it writes them out.
-GATHER = 1_500_000
 
 _WORDS: dict[bytes, int] = {}
 
@@ -100,29 +97,33 @@ def differ(a: int, b: int, num: int, den: int) -> int:
     return (a + b) * (den - num) // (den + num)
 
 
-def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+def part_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the set's non-empty parts, for each size class it needs: its own
-    and that of the largest set it can be linked with.
+    and that of the largest set it can be linked with.  With each come the class
+    and how many keys of the class it shares with any set it is linked with, at
+    least.
 
     If a set has no more non-empty parts than linked sets can differ in, then
     the empty ones count as parts too."""
     most, parts = _classes(num, den)
     size, out = len(s), []
-    if not size:
-        return np.empty(0, dtype=np.uint64)
     largest = size * den // num
-    for c in range(bisect_left(most, size), bisect_left(most, largest) + 1):
+    for c in range(bisect_left(most, size), bisect_left(most, largest) + 1) if size else ():
         n = parts[c]
         salted = _mix(s ^ np.uint64(c * 0x9E3779B9 + 1))
         part = (salted % np.uint64(n)).astype(np.int64)
         total = np.zeros(n, dtype=np.uint64)
         np.add.at(total, part, _mix(salted))
         filled = np.bincount(part, minlength=n) > 0
-        if filled.sum() <= differ(size, min(most[c], largest), num, den):
+        apart = differ(size, min(most[c], largest), num, den)
+        if filled.sum() <= apart:
             filled[:] = True
         index = np.flatnonzero(filled)
-        out.append(_mix(total[index] + np.uint64(c << 44) + index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.concatenate(out)
+        key = _mix(total[index] + np.uint64(c << 44) + index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out.append((key, np.full(len(index), c), np.full(len(index), len(index) - apart)))
+    if not out:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
 def parity_bits(s: np.ndarray, num: int, den: int) -> bytes:
@@ -183,7 +184,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 # -- candidates -----------------------------------------------------------
 
-DOC, KEY, EDGE, MEMBER = 0, 1, 2, 3
+DOC, KEY, EDGE, MEMBER, COMMON = 0, 1, 2, 3, 4
 _SKETCH = "kind long, a long, b long, c long, n long, bits binary"
 
 
@@ -194,67 +195,53 @@ def _batch(kind: int, a: object, b: object, c: object = None, n: object = None,
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int64()), column(a), column(b), column(c), column(n), last], names=["kind", "a", "b", "c", "n", "bits"])
 
 
-def _gathered(keys: list[np.ndarray], docs: list[int]) -> Iterator[pa.RecordBatch]:
-    """A task's keys.  Where very many of its documents share one, only the
-    smallest is sent and the others are connected with it."""
-    if not keys:
-        return
-    key = np.concatenate(keys)
-    doc = np.repeat(np.array(docs, dtype=np.int64), [len(k) for k in keys])
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    many = np.repeat(size > COMBINE, size)
-    low = np.repeat(doc[first], size)
-    send = ~many | (doc == low)
-    yield _batch(KEY, key[send].view(np.int64), doc[send])
-    pairs = np.unique(np.stack([doc, low], axis=1)[many & (doc != low)], axis=0)
-    if len(pairs):
-        yield _batch(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy())
-
-
 def _sketched(batches: Iterable[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    keys: list[np.ndarray] = []
-    docs: list[int] = []
-    seen: set[tuple[int, int]] = set()
-    held = 0
-    for batch in chunks(batches, "text", 8_000_000):
-        rows = []
+    seen: set[tuple[int, int]] = set()  # a task's copies share all keys of the first
+    for batch in chunks(batches, "text", 2_000_000):
+        rows, found, docs = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = shingles(text, k)
             key = set_key(s)
             rows.append((doc_id, *key, len(s), parity_bits(s, num, den)))
             if len(s) and doc_id is not None and key not in seen:
+                if len(seen) > 300_000:
+                    seen.clear()
                 seen.add(key)
-                keys.append(part_keys(s, num, den))
+                found.append(part_keys(s, num, den))
                 docs.append(doc_id)
-                held += len(keys[-1])
         yield _batch(DOC, *zip(*rows, strict=True))
-        if held > GATHER:
-            yield from _gathered(keys, docs)
-            keys, docs, seen, held = [], [], set(), 0
-    yield from _gathered(keys, docs)
+        if found:
+            keys, classes, margins = (np.concatenate(x) for x in zip(*found, strict=True))
+            owner = np.repeat(np.array(docs, dtype=np.int64), [len(f[0]) for f in found])
+            yield _batch(KEY, keys.view(np.int64), owner, classes, margins)
 
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come dealt and sorted by (kind, a, b).  The documents of a key are
     the members of a group named by their list, so that the many keys that near
-    copies share name one group; all else is passed on."""
+    copies share name one group.  The rows of a common key, and all else, are
+    passed on."""
     import xxhash
 
-    key, run = None, np.empty(0, dtype=np.int64)
+    key, run, common = None, [], False
     named: set[int] = set()
 
-    def done(docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        docs = np.unique(docs)
-        if len(docs) < 2:
+    def part() -> Iterator[pa.RecordBatch]:
+        """What is gathered of the run so far, as rows of a common key."""
+        a, b, c, n = (np.concatenate(x) for x in zip(*run, strict=True))
+        yield _batch(COMMON, a, b, c, n)
+        run.clear()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if not run:
             return
-        if len(docs) > SIEVE:
-            yield _batch(EDGE, docs[1:], np.full(len(docs) - 1, docs[0]))
+        if common:
+            yield from part()
             return
+        docs = np.unique(np.concatenate([r[1] for r in run]))
+        run.clear()
         name = int.from_bytes(xxhash.xxh3_64_digest(docs.tobytes()), "little", signed=True)
-        if name not in named:
+        if len(docs) > 1 and name not in named:
             if len(named) > 500_000:
                 named.clear()
             named.add(name)
@@ -268,18 +255,20 @@ def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = np.flatnonzero(kind == KEY)
         if not len(here):
             continue
-        a, b = (batch.column(k).take(pa.array(here)).to_numpy() for k in (1, 2))
+        a, b, c, n = (batch.column(k).take(pa.array(here)).to_numpy() for k in (1, 2, 3, 4))
         first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
         ends = np.r_[first[1:], len(a)]
         # single documents in the middle need no look; the first and last run may go on
         look = np.flatnonzero((ends - first > 1) | (np.arange(len(first)) == 0) | (np.arange(len(first)) == len(first) - 1))
         for f, e in zip(first[look].tolist(), ends[look].tolist(), strict=True):
             if a[f] != key:
-                yield from done(run)
-                key, run = a[f], b[f:e]
-            else:
-                run = np.concatenate([run, b[f:e]])
-    yield from done(run)
+                yield from done()
+                key, common = a[f], False
+            run.append((a[f:e], b[f:e], c[f:e], n[f:e]))
+            if sum(len(r[0]) for r in run) > SIEVE:
+                common = True
+                yield from part()
+    yield from done()
 
 
 def _sieved(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -397,7 +386,13 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     groups = sketch.filter(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("doc")).distinct()
     groups = groups.join(bits, "doc").select("group", "doc", "size", "bits").repartition(shuffle_parts(spark), "group").sortWithinPartitions("group")
     near = groups.mapInArrow(lambda it: _sieved(it, num, den), _SKETCH).select("a", "b")
-    edges = near.union(sketch.filter(F.col("kind") == EDGE).select("a", "b"))
+    # who shares more keys with a partner than it has common ones shares another one;
+    # only the rest is connected by common keys
+    common = sketch.filter(F.col("kind") == COMMON).select(F.col("a").alias("key"), F.col("b").alias("doc"), F.col("c").alias("class"), F.col("n").alias("margin"))
+    needy = common.groupBy("doc", "class").agg(F.count(F.lit(1)).alias("_common"), F.min("margin").alias("_margin")).filter("_common >= _margin").select("doc", "class")
+    bound = common.join(needy, ["doc", "class"])
+    lowest = bound.groupBy("key").agg(F.min("doc").alias("low"))
+    edges = near.union(bound.join(lowest, "key").select("doc", "low").filter("doc <> low"))
     coarse = components(edges, "coarse")
 
     classes = stored(found.filter("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")

@@ -92,7 +92,6 @@ def test_linked_equals_brute_force(spark, k, num):
 
 def test_linked_blocks_hot_groups_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 400)
-    monkeypatch.setattr(ngram_join, "COMBINE", 4)
     monkeypatch.setattr(ngram_join, "SIEVE", 6)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 999)}" for _ in range(120)]
