@@ -29,26 +29,34 @@ def pin(df: DataFrame, contract: ir.Contract, where: str) -> None:
     """Hold data against a contract: columns and types by the schema; nulls,
     values and uniqueness in one pass over the rows."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    cells = []
     for c in contract.columns:
         if c.name not in kinds:
             raise PinError("PIN", f"{where}: column {c.name!r} is missing")
         if not _holds(c.type, kinds[c.name]):
             raise PinError("PIN", f"{where}.{c.name} is {kinds[c.name].simpleString()}, the contract says {c.type}")
-        if not c.nullable or c.primary:
-            cells.append((c.name, "is null", F.sum(F.when(col(c.name).isNull(), 1).otherwise(0))))
-        if c.enum:
-            cells.append((c.name, "isn't one of " + ", ".join(sorted(c.enum)), F.sum(F.when(~col(c.name).isin(*c.enum), 1).otherwise(0))))
-        if c.unique or c.primary:
-            cells.append((c.name, "isn't unique", F.count(F.lit(1)) - F.count_distinct(col(c.name))))
-    if not cells:
+    counts = violations(df, contract)
+    if not counts.columns:
         return
-    row = df.agg(*[cell.alias(f"c{i}") for i, (_, _, cell) in enumerate(cells)]).first()
-    broken = [f"{where}.{name} {what} in {row[i]} rows" for i, (name, what, _) in enumerate(cells) if row[i]]
+    row = counts.first().asDict()
+    broken = [f"{where}.{name.replace('__', ' ')} in {n} rows" for name, n in row.items() if n]
     if broken:
         raise PinError("PIN", "; ".join(broken))
 
 
+def violations(df: DataFrame, contract: ir.Contract) -> DataFrame:
+    """One row with the number of rows that break each promise of a contract,
+    by one pass over the data.  Columns are named ``<column>__<what>``."""
+    cells = []
+    for c in contract.columns:
+        if not c.nullable or c.primary:
+            cells.append(F.sum(F.when(col(c.name).isNull(), 1).otherwise(0)).alias(f"{c.name}__is null"))
+        if c.enum:
+            cells.append(F.sum(F.when(~col(c.name).isin(*c.enum), 1).otherwise(0)).alias(f"{c.name}__isn't one of " + ", ".join(sorted(c.enum))))
+        if c.unique or c.primary:
+            cells.append((F.count(F.lit(1)) - F.count_distinct(col(c.name))).alias(f"{c.name}__isn't unique"))
+    return df.agg(*cells) if cells else df.select()
+
+
 def _twice(df: DataFrame, keys: list[str]) -> bool:
     """Whether some rows share their keys; rows with a null key match nothing."""
     known = df.select(*[col(k) for k in keys]).na.drop("any")

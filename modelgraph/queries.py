@@ -8,7 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import incremental
 from .plans import Project
+from .quality import violations
 from .sources import Sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,6 +397,42 @@ model model_chain {
 }""", "SELECT c_name, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey WHERE n > 12")
 
 
+_LATER = """
+model before { from orders filter o_orderdate < cast("1997-01-01", "timestamp") select { o_orderkey = o_orderkey, o_custkey = o_custkey, price = o_totalprice * 2.0, placed = o_orderdate } }
+model now { from orders select { o_orderkey = o_orderkey, o_custkey = o_custkey, price = o_totalprice, placed = o_orderdate } }
+"""
+_LATER_SQL = """
+WITH before AS (SELECT o_orderkey, o_custkey, o_totalprice * 2 AS price, o_orderdate AS placed FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
+delta AS (SELECT o_orderkey, o_custkey, o_totalprice AS price, o_orderdate AS placed FROM orders WHERE o_orderdate > (SELECT max(placed) FROM before))
+"""
+
+
+def _incremental(strategy: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        project = Project.from_text(SOURCES + _LATER)
+        sources = Sources.folder(spark, sf_dir, list(project.sources))
+        before, now = project.frame("before", sources), project.frame("now", sources)
+        return incremental.append(before, now, "placed") if strategy == "append" else incremental.upsert(before, now, "placed", ["o_custkey"])
+
+    return run
+
+
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    project = Project.from_text(SOURCES + "contract C { o_orderkey: int64 nonnull unique  o_custkey: int64 nonnull unique  o_orderstatus: string nonnull enum {F, O} }")
+    found = violations(Sources.folder(spark, sf_dir, list(project.sources)).get(project.sources["orders"]), project.contracts["C"])
+    return found.toDF("key_null", "key_twice", "cust_null", "cust_twice", "status_null", "status_other")
+
+
+#: Queries that aren't a model, with their SQL.
+OTHERS: dict[str, tuple[Query, str]] = {
+    "incremental_append": (_incremental("append"), _LATER_SQL + "SELECT * FROM before UNION ALL SELECT * FROM delta"),
+    "incremental_upsert": (_incremental("upsert"), _LATER_SQL + "SELECT * FROM before WHERE o_custkey NOT IN (SELECT o_custkey FROM delta) UNION ALL SELECT * FROM delta"),
+    "contract_violations": (contract_violations, """
+SELECT count(*) FILTER (o_orderkey IS NULL) AS key_null, count(*) - count(DISTINCT o_orderkey) AS key_twice, count(*) FILTER (o_custkey IS NULL) AS cust_null, count(*) - count(DISTINCT o_custkey) AS cust_twice,
+  count(*) FILTER (o_orderstatus IS NULL) AS status_null, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS status_other FROM orders"""),
+}
+
+
 def _query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         project = Project.from_text(SOURCES + MODELS[name][0])
@@ -404,8 +442,8 @@ def _query(name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _query(name) for name in MODELS}
+    return {name: _query(name) for name in MODELS} | {name: q for name, (q, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in MODELS.items()}
+    return {name: sql for name, (_, sql) in (MODELS | OTHERS).items()}

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from .. import ir
 from ..errors import ModelError, PinError
 from ..metrics import METRICS, Metrics
+from ..operators import incremental
 from ..operators.relational import col
 from ..plans import Project
 from ..quality import hold_join, pin, run_tests
@@ -113,17 +114,13 @@ class Runner:
     # -- computing
     def _merged(self, name: str, full: DataFrame, previous: DataFrame | None) -> DataFrame:
         """The rows of an incremental model: those before and what is new by the
-        watermark.  The watermark is a literal, so it is pushed to the scan."""
+        watermark."""
         inc = self.project.models[name].incremental
         if inc is None or inc.strategy == "replace" or previous is None:
             return full
-        top = previous.agg(F.max(col(inc.cdc_column or ""))).first()[0]
-        delta = full if top is None else full.filter(col(inc.cdc_column or "") > F.lit(top).cast(full.schema[inc.cdc_column].dataType))
-        previous = previous.select(*[col(c) for c in full.columns])
         if inc.strategy == "append":
-            return previous.unionByName(delta)
-        keys = [k.name for k in inc.keys]  # type: ignore[attr-defined]
-        return previous.join(delta.select(*[col(k) for k in keys]).distinct(), keys, "left_anti").select(*full.columns).unionByName(delta)
+            return incremental.append(previous, full, inc.cdc_column or "")
+        return incremental.upsert(previous, full, inc.cdc_column or "", [k.name for k in inc.keys])  # type: ignore[attr-defined]
 
     def _compute(self, models: list[str], folder: str, inputs: dict[str, DataFrame], merge: bool = True) -> dict[str, DataFrame]:
         made: dict[str, DataFrame] = {}

@@ -10,7 +10,7 @@ import pytest
 from modelgraph.errors import PinError
 from modelgraph.plans import Project
 from modelgraph.quality import pin, run_tests
-from modelgraph.queries import MODELS, oracle_sql, queries
+from modelgraph.queries import oracle_sql, queries
 from modelgraph.sources import Sources
 from modelgraph.streaming import append_stream, streamable
 
@@ -148,7 +148,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(MODELS))
+@pytest.mark.parametrize("name", list(queries()))
 def test_query_equals_its_sql(spark, duck, name):
     got = queries()[name](spark, SF)
     columns = sorted(got.columns)
