@@ -377,7 +377,9 @@ def _sorted(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             continue
         parts = [_unpack(r[3]) for r in run]
         arrays = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-        spans = repeats(*arrays, b"".join(p[5] for p in parts), length)
+        body = b"".join(p[5] for p in parts)
+        parts.clear()
+        spans = repeats(*arrays, body, length)
         found = [(bucket, d, t, x) for d, t, x in _span_rows(*spans)]
         for k in range(0, len(found), 5000):
             yield _out(found[k : k + 5000])
@@ -431,6 +433,18 @@ def _applied(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa
 _NEW = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed"]
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated strings cut from ``text`` (and ``n_chars`` set
+    to its length, if there is such a column); all other columns as they came.  A
+    character that a cut leaves incomplete goes as well."""
+    names = docs.columns
+    rest = [F.col(c) for c in names if c != "text"]
+    whole = docs.select("doc_id", "text", F.struct(*rest).alias("row"))
+    out = deduplicated(whole, ["row"], length)
+    new = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
+
 def deduplicated(docs: DataFrame, carry: list[str], length: int = LENGTH) -> DataFrame:
     """Columns ``carry`` of each document with n_bytes, n_removed, n_spans,
     kept_sha256, kept_text and the removed spans (byte offsets in the input)."""
@@ -442,13 +456,15 @@ def deduplicated(docs: DataFrame, carry: list[str], length: int = LENGTH) -> Dat
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size * 3.5) // BUCKET_BYTES))
     dealt = base.select("_doc", "_tag", "text").mapInArrow(lambda it: _dealt(it, length, buckets), _ROWS)
-    known = F.when(F.col("bucket") < 0, F.xxhash64("doc")).otherwise(F.col("bucket"))
-    dealt = dealt.repartition(max(buckets, shuffle_parts(spark)), known).sortWithinPartitions("bucket")
+    # one bucket to a partition: dealt by hash, some would get several
+    n = max(buckets, shuffle_parts(spark))
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
+    dealt = dealt.repartitionById(n, place).sortWithinPartitions("bucket")
     spans = dealt.mapInArrow(lambda it: _sorted(it, length), _ROWS)
     spans = spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("data").alias("_spans"))
     squeezed = base.select("text", *[c for c in base.columns if c != "text"])
     fields = [T.StructField("_text", T.BinaryType()), *squeezed.schema.fields[1:]]
-    joined = squeezed.mapInArrow(_squeezed, T.StructType(fields)).join(spans, ["_doc", "_tag"], "left").select("_text", "_spans", *[f"_c{k}" for k in range(len(carry))])
+    joined = squeezed.mapInArrow(_squeezed, T.StructType(fields)).join(spans.hint("merge"), ["_doc", "_tag"], "left").select("_text", "_spans", *[f"_c{k}" for k in range(len(carry))])
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = [T.LongType()] * 3 + [T.StringType()] * 2 + [span]
     out = T.StructType([*[docs.schema[c] for c in carry], *[T.StructField(n, k) for n, k in zip(_NEW, kinds, strict=True)]])
