@@ -5,7 +5,6 @@ again by the next; all but the last return the columns of documents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from modelgraph.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 from modelgraph.llm.common import stored, table
@@ -13,8 +12,7 @@ from modelgraph.llm.common import stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    judged = quality_rules.apply_rules(docs)
-    return judged.filter(F.col("rule_rejected_by").isNull()).drop("rule_rejected_by")
+    return quality_rules.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +21,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 100-byte strings that start earlier elsewhere; a
-    character that a cut leaves incomplete goes as well."""
-    names = docs.columns
-    out = suffix_dedup.deduplicated(docs, [c for c in names if c != "text"]).withColumnRenamed("kept_text", "text")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(names)
+    """Documents without the 100-byte strings that start earlier elsewhere."""
+    return suffix_dedup.cleaned(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8
+from .common import free_name, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
 #: Documents that the cost and selectivity of rules are measured on.
@@ -176,14 +176,20 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with ``rule_rejected_by``: the rule that stopped the document,
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", verdict: str = "rule_rejected_by") -> DataFrame:
+    """``docs`` with the column ``verdict``: the rule that stopped the document,
     null where it is kept.  All columns of the input stay as they are."""
     rules = ordered(docs, rules, text)
-    out = T.StructType([*docs.schema.fields, T.StructField("rule_rejected_by", T.StringType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(verdict, T.StringType())])
     return docs.mapInArrow(lambda it: _judge(it, rules, text, _arrow(out), False), out)
 
 
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that no rule rejects, with the columns they came with."""
+    verdict = free_name(docs, "rule_rejected_by")
+    return apply_rules(docs, rules, verdict=verdict).filter(F.col(verdict).isNull()).drop(verdict)
+
+
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The verdict of the cascade with all measures, one row per document."""
     rules = ordered(docs, rules)

@@ -163,3 +163,18 @@ def test_pipeline_stages(spark):
             before = docs.count()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() > 0
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark)
+    for name in ("rule_rejected_by", "_gone", "_nth", "n_bytes", "kept_text", "removed", "row", "place", "size", "_spans", "component_id"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, docs, ""), name)
+        assert out.columns == docs.columns
+        assert out.filter("kept_text = 'x' AND size = 'x' AND _nth = 'x'").count() == out.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
