@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, shuffle_parts, stored, table, utf8
+from .common import chunks, components, free_name, shuffle_parts, stored, table, utf8
 
 #: Ratio of the largest to the smallest set size of a size class.
 RATIO = 1.6
@@ -400,7 +400,8 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     celled = stored(celled.join(classes, ["hi", "lo"]), "celled")
     large = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("_members"), F.sum("n").alias("_tokens")).filter("_members > 1")
     celled = celled.join(large.select("cell", F.ceil(F.when(F.col("_tokens") > BLOCK_TOKENS, 2 * F.col("_tokens") / BLOCK_TOKENS).otherwise(1)).cast("long").alias("blocks")), "cell")
-    sets = docs.join(celled, docs["doc_id"] == celled["rep"]).select("text", "hi", "lo", "cell", "rep", "n", "blocks")
+    # always by shuffle: what is joined to the texts grows with them
+    sets = docs.join(celled.hint("merge"), docs["doc_id"] == celled["rep"]).select("text", "hi", "lo", "cell", "rep", "n", "blocks")
     sets = sets.mapInArrow(lambda it: _shipped(it, k), "cell long, rep long, n long, blocks long, tokens binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sets = sets.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "tokens")
@@ -419,13 +420,14 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     Of rows that share a doc_id, one of the smallest text hash stays."""
     found = stored(linked(docs, k, num, den), "linked")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name, nth = free_name(docs, "_gone"), free_name(docs, "_nth")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    # always by shuffle: what is joined to the texts grows with them
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == F.col(name), "left_anti")
     if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    numbered = kept.withColumn("_nth", F.row_number().over(first))
-    return numbered.filter("doc_id IS NULL OR _nth = 1").drop("_nth")
+    return kept.withColumn(nth, F.row_number().over(first)).filter(F.col("doc_id").isNull() | (F.col(nth) == 1)).drop(nth)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
