@@ -4,8 +4,10 @@ Markup is stripped into lines, one for each block of text; what menus, adverts,
 forms and the like hold becomes a gap of empty lines.  Text lengths (without
 link text) are summed over sliding windows of lines.  Where the sums surge from
 zero a stretch of text begins, where they dive to zero it ends, and the lines
-between are kept if the stretch is dense enough.  A page that marks its article
-gives weight to the lines inside it only.
+between are kept if the stretch is dense enough.  What stands in the same element
+as dense text is kept too, so that an advert in the middle of an article doesn't
+cost the lines behind it.  A page that marks its article gives weight to the lines
+inside it only.
 
 Defined cases: null or empty html gives the empty text; a page cut off in the
 middle of a tag or element is read as far as it goes; character references
@@ -41,6 +43,8 @@ RAW = frozenset("script style noscript template iframe object svg math canvas te
 DROPPED = RAW | frozenset("head nav footer aside form button dialog menu label input figcaption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
+#: Elements that belong to the text of the element they stand in.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr caption figure figcaption".split())
 #: Words of class and id names that mark what surrounds the main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus"
@@ -70,31 +74,45 @@ def _marks_article(tag: str, attrs: dict[str, str]) -> bool:
     return tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "") == "articleBody"
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of link text, inside a marked article) of each block;
-    a gap of empty lines where something was dropped."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, tuple[int, int]]]:
+    """(text, characters of link text, inside a marked article, elements) of each
+    block; a gap of empty lines where something was dropped.
+
+    The elements are the innermost one that isn't textual and the one that holds
+    the block; 0 is the page."""
+    out: list[tuple[str, int, bool, tuple[int, int]]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, drops, marks the article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, drops, marks the article, place in the page
     opened: Counter[str] = Counter()
     dropped = articles = links = linked = 0
 
+    def around() -> tuple[int, int]:
+        k = len(stack)
+        while k and stack[k - 1][0] in INLINE:
+            k -= 1
+        top = k
+        while k and (stack[k - 1][0] in TEXTUAL or stack[k - 1][0] in INLINE):
+            k -= 1
+        own = stack[k - 1][3] if k else 0
+        holder = own if k < top else stack[k - 2][3] if k > 1 else 0  # text may stand in a div of its own
+        return own, holder
+
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, min(linked, len(text)), articles > 0))
+                out.append((text, min(linked, len(text)), articles > 0, around()))
             parts.clear()
         linked = 0
 
     def gap() -> None:
         flush()
-        out.extend([("", 0, False)] * WINDOW)
+        out.extend([("", 0, False, (0, 0))] * WINDOW)
 
     def pop() -> str:
         nonlocal dropped, articles, links
-        tag, drops, marks = stack.pop()
+        tag, drops, marks, _ = stack.pop()
         opened[tag] -= 1
         if marks:
             flush()
@@ -150,7 +168,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        stack.append((tag, drops, marks))
+        stack.append((tag, drops, marks, at))
         opened[tag] += 1
         dropped += drops
         articles += marks
@@ -165,10 +183,10 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    marked = any(inside and text for text, _, inside in found)
-    weights = [0 if marked and not inside else len(text) - linked for text, linked, inside in found]
+    marked = any(inside and text for text, _, inside, _ in found)
+    weights = [0 if marked and not inside else len(text) - linked for text, linked, inside, _ in found]
     if not any(weights):
-        marked, weights = False, [len(text) for text, _, _ in found]
+        marked, weights = False, [len(text) for text, *_ in found]
     n = len(weights)
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     stretches: list[tuple[int, int, int]] = []  # first line, line behind the last, fullest window
@@ -192,7 +210,16 @@ def extract(page: str | None) -> str:
         return ""
     most = max(s for _, _, s in stretches)
     floor = 1 if marked else min(DENSE, most)
-    keep = [found[k][0] for a, b, s in stretches if s >= floor for k in range(a, b) if found[k][0] and (not marked or found[k][2])]
+    held: Counter[int] = Counter()  # characters that dense stretches have in each element
+    for a, b, s in stretches:
+        for k in range(a, b) if s >= floor else ():
+            held.update({e: weights[k] for e in set(found[k][3])})
+    keep = []
+    for a, b, s in stretches:
+        if s < floor:  # from the first to the last line that stands with dense text
+            near = [k for k in range(a, b) if weights[k] and any(held[e] >= floor for e in found[k][3])]
+            a, b = (near[0], near[-1] + 1) if near else (a, a)
+        keep += [found[k][0] for k in range(a, b) if found[k][0] and (not marked or found[k][2])]
     return "\n\n".join(keep)
 
 

@@ -117,6 +117,13 @@ def test_extract():
     assert html_extraction.extract("<article><p>cut off in the middl") == "cut off in the middl"
 
 
+def test_short_lines_behind_an_advert_stay():
+    long = "A paragraph of some length, with text that goes on for a while so that it is dense, and then goes on for a while more, to its end."
+    page = "<div class=logo>Site</div><nav>x</nav><div class=content><p>{}</p><div class=ad>Buy!</div>{}</div><form>y</form><div class=imprint>Powered by z</div>"
+    for close in ("<h3>The end</h3>", "<ul><li>The end</li></ul>", "The end", "<div>The end</div>"):
+        assert html_extraction.extract(page.format(long, close)) == f"{long}\n\nThe end"
+
+
 def test_op6_equals_a_plain_reading(spark):
     def plain(page):
         body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
