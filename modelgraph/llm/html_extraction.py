@@ -40,7 +40,7 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select option title".split())
 #: Elements that hold no main text.
-DROPPED = RAW | frozenset("head nav footer aside form button dialog menu label input figcaption".split())
+DROPPED = RAW | frozenset("head nav footer aside form button dialog menu label input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
 #: Elements that belong to the text of the element they stand in.
@@ -51,6 +51,10 @@ MARKS = frozenset(
     " footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted related"
     " share sharing sidebar sidebars signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Words before a mark in a name that tell how a page is laid out around it.
+LAYOUT = frozenset("with without has no".split())
+#: Last words of names that hold main text, and first words of the names of its parts.
+CONTENT, OWN = frozenset("content article main body".split()), frozenset("entry post article story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -66,8 +70,16 @@ def _drops(tag: str, attrs: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return bool(tag == "article" and {"comment", "comments"} & {w.lower() for w in _WORDS.findall(attrs.get("class", ""))})
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('itemprop', '')}"
-    return any(w.lower() in MARKS for w in _WORDS.findall(names)) if names.strip() else False
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('itemprop', '')}".split()
+    whole, part, content = False, False, False
+    for words in ([w.lower() for w in _WORDS.findall(name)] for name in names):
+        marks = [k for k, w in enumerate(words) if w in MARKS and not (k and words[k - 1] in LAYOUT)]
+        if words and words[-1] in ("header", "masthead") and (inside or words[0] in OWN):
+            marks = [k for k in marks if k < len(words) - 1]  # the heading of the article itself
+        whole |= bool(marks) and len(words) == 1
+        part |= bool(marks)
+        content |= not marks and bool(words) and words[-1] in CONTENT
+    return whole or (part and not content)
 
 
 def _marks_article(tag: str, attrs: dict[str, str]) -> bool:

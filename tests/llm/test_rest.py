@@ -124,6 +124,19 @@ def test_short_lines_behind_an_advert_stay():
         assert html_extraction.extract(page.format(long, close)) == f"{long}\n\nThe end"
 
 
+def test_names_drop_no_main_text():
+    long = "A paragraph of some length, with text that goes on for a while so that it is dense, and then goes on for a while more, to its end."
+    for name in ("content with-sidebar", "main-content sidebar-left", "hasSidebar"):
+        assert html_extraction.extract(f"<div class='{name}'><p>{long}</p></div><div class='sidebar-left'><p>{long}</p></div>") == long
+        assert html_extraction.extract(f"<div class='{name}'><article><p>{long}</p></article></div>") == long
+    for name in ("entry-header", "header"):
+        assert html_extraction.extract(f"<article><div class={name}><h1>Title</h1></div><p>{long}</p></article>") == f"Title\n\n{long}"
+    assert html_extraction.extract(f"<div><div class=post-header><h1>Title</h1></div><p>{long}</p></div>") == f"Title\n\n{long}"
+    assert html_extraction.extract(f"<article><figure><img src=x><figcaption>A caption</figcaption></figure><p>{long}</p></article>") == f"A caption\n\n{long}"
+    for name in ("sidebar", "content sidebar", "related-posts", "comment-list", "cookie-notice", "site-header", "ad"):
+        assert html_extraction.extract(f"<div class='{name}'><p>{long}</p></div>") == ""
+
+
 def test_op6_equals_a_plain_reading(spark):
     def plain(page):
         body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
