@@ -17,8 +17,10 @@ ties there.  Groups equal over the whole length are the repeats.
 
 Defined cases: a null or empty text has no bytes; texts under ``LENGTH`` bytes
 keep all; a null doc_id counts as the largest; rows that repeat a doc_id and text
-are the same document, so they don't make each other's strings repeated; texts
-of any length are cut into slices that overlap, which changes no result.
+are the same document, so they don't make each other's strings repeated; rows that
+repeat a doc_id with other texts are documents of their own, in the order of a
+64-bit hash of the text; texts of any length are cut into slices that overlap,
+which changes no result.
 """
 
 from __future__ import annotations
@@ -229,7 +231,7 @@ def _slices(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[list[tup
 def _pack(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.ndarray, offsets: np.ndarray, body: bytes) -> bytes:
     import zstandard
 
-    head = struct.pack("<I", len(docs)) + docs.astype("<i8").tobytes() + places.astype("<i8").tobytes() + tags.astype("<u2").tobytes() + runs.astype("u1").tobytes() + offsets.astype("u1").tobytes()
+    head = struct.pack("<I", len(docs)) + docs.astype("<i8").tobytes() + places.astype("<i8").tobytes() + tags.astype("<i8").tobytes() + runs.astype("u1").tobytes() + offsets.astype("u1").tobytes()
     return zstandard.ZstdCompressor(level=6).compress(head + body)
 
 
@@ -239,7 +241,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     raw = zstandard.ZstdDecompressor().decompress(blob)
     (n,) = struct.unpack_from("<I", raw)
     at, out = 4, []
-    for kind, size in (("<i8", 8), ("<i8", 8), ("<u2", 2), ("u1", 1), ("u1", 1)):
+    for kind, size in (("<i8", 8), ("<i8", 8), ("<i8", 8), ("u1", 1), ("u1", 1)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += size * n
     docs, places, tags, runs, offsets = out
@@ -268,7 +270,7 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
 
 def _dealt(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Segments by bucket, and (bucket -1) spans known to be repeated already."""
-    hot: dict[bytes, tuple[int, int]] = {}
+    hot: dict[bytes, tuple[int, int, int]] = {}
     for held in _slices(batches, length):
         raw = b"".join(p for *_, p in held)
         sizes = np.array([len(p) for *_, p in held])
@@ -284,12 +286,12 @@ def _dealt(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iter
         # segments that were here before go no further
         _, inverse, counts = np.unique(gram, return_inverse=True, return_counts=True)
         maybe = np.flatnonzero(counts[inverse] > 1)
-        maybe = maybe[np.lexsort((places[maybe], docs[maybe]))].tolist()
+        maybe = maybe[np.lexsort((places[maybe], tags[maybe], docs[maybe]))].tolist()
         keep = np.ones(len(first), dtype=bool)
         a, b = first.tolist(), (last + length).tolist()
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[bytes, tuple[int, int, int]] = {}
         for i in maybe:
-            s, here = raw[a[i] : b[i]], (int(docs[i]), int(places[i]))
+            s, here = raw[a[i] : b[i]], (int(docs[i]), int(tags[i]), int(places[i]))
             there = seen.get(s) or hot.get(s)
             if there is None or there > here:
                 seen[s] = here
@@ -300,7 +302,7 @@ def _dealt(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iter
         if hot:
             for i in np.flatnonzero(counts[inverse] == 1).tolist():
                 s = raw[a[i] : b[i]]
-                if s in hot and hot[s] < (int(docs[i]), int(places[i])):
+                if s in hot and hot[s] < (int(docs[i]), int(tags[i]), int(places[i])):
                     keep[i] = False
         gone = ~keep
         rows = [(-1, d, t, x) for d, t, x in _span_rows(docs[gone], tags[gone], places[gone], places[gone] + (last - first)[gone] + length)]
@@ -327,7 +329,7 @@ def repeats(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.nda
     gram = _gram_hash(words, at, at + 8)
     _, group, counts = np.unique(gram, return_inverse=True, return_counts=True)
     maybe = np.flatnonzero(counts[group] > 1)
-    maybe = maybe[np.lexsort((places[maybe], docs[maybe]))]
+    maybe = maybe[np.lexsort((places[maybe], tags[maybe], docs[maybe]))]
     # equal segments: all strings of the later ones are repeated
     seen: dict[bytes, int] = {}
     whole, left = [], []
@@ -336,7 +338,7 @@ def repeats(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.nda
         k = seen.setdefault(body[a[i] : b[i]], i)
         if k == i:
             left.append(i)
-        elif docs[k] != docs[i] or places[k] != places[i]:
+        elif docs[k] != docs[i] or tags[k] != tags[i] or places[k] != places[i]:
             whole.append(i)
     rest = np.array(left, dtype=np.int64)
     rest = rest[np.bincount(group[rest], minlength=len(counts))[group[rest]] > 1] if len(rest) else rest
@@ -350,9 +352,9 @@ def repeats(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.nda
         place = places[owner] + i
         marked = np.zeros(len(owner), dtype=bool)
         for members in equal_groups(body, starts[owner] + i, key, length):
-            d, p = docs[owner[members]], place[members]
-            k = np.lexsort((p, d))[0]
-            marked[members] |= (d != d[k]) | (p != p[k])
+            d, t, p = docs[owner[members]], tags[owner[members]], place[members]
+            k = np.lexsort((p, t, d))[0]
+            marked[members] |= (d != d[k]) | (t != t[k]) | (p != p[k])
         hit = np.flatnonzero(marked)
         if len(hit):
             new = np.r_[True, (np.diff(hit) > 1) | (owner[hit][1:] != owner[hit][:-1])]
@@ -451,7 +453,7 @@ def deduplicated(docs: DataFrame, carry: list[str], length: int = LENGTH) -> Dat
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), "text", *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
     twice = not base.groupBy("_doc").count().filter("count > 1").isEmpty()
-    tag = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) % 65536 if twice else F.lit(0).cast("long")
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if twice else F.lit(0).cast("long")
     base = base.withColumn("_tag", tag)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size * 3.5) // BUCKET_BYTES))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -50,6 +51,22 @@ def test_suffix_dedup_repeated_rows_and_empty(spark):
     assert suffix_dedup.deduplicated(empty(spark), ["doc_id"]).count() == 0
 
 
+def test_suffix_dedup_rows_without_doc_id_are_told_apart(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    known, head, clean = text(120), text(110), {}
+    while True:  # two texts with the same last 16 bits of their CRC
+        other = text(150)
+        pair = known + "x" + text(60)
+        clean[zlib.crc32(other.encode()) % 65536] = other
+        if (same := clean.get(zlib.crc32(pair.encode()) % 65536)) is not None:
+            break
+    df = spark.createDataFrame([(1, known), (None, pair), (None, same), (None, head + "x" + text(40)), (None, head + "y" + text(40))], "doc_id long, text string")
+    got = {r.text: r.n_removed for r in suffix_dedup.deduplicated(df, ["text"]).collect()}
+    assert got[known] == 0 and got[pair] == 120 and got[same] == 0
+    assert sorted(n for t, n in got.items() if t.startswith(head)) == [0, 110]
+
+
 def test_blind_trie_orders_and_groups():
     rng = random.Random(1)
     strings = ["".join(rng.choice("ab") for _ in range(12)).encode() for _ in range(400)]
