@@ -418,16 +418,22 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """``docs`` with one document of each linked group, the one with the
     smallest doc_id; rows without doc_id stay.  All columns are kept.
 
-    Of rows that share a doc_id, one of the smallest text hash stays."""
-    found = stored(linked(docs, k, num, den), "linked")
-    name, nth = free_name(docs, "_gone"), free_name(docs, "_nth")
+    Rows that share a doc_id are linked by their own texts; of those that repeat
+    a doc_id and text, one stays."""
+    number, nth, name = free_name(docs, "_number"), free_name(docs, "_nth"), free_name(docs, "_gone")
+    key = "doc_id"
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        copies = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+        docs = docs.withColumn(nth, F.row_number().over(copies)).filter(F.col("doc_id").isNull() | (F.col(nth) == 1)).drop(nth)
+        # numbers rise with doc_id over the sorted partitions, so the smallest stays
+        docs = docs.sort(F.col("doc_id").cast("long"), F.xxhash64("text"))
+        docs = stored(docs.withColumn(number, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered")
+        key = number
+    found = stored(linked(docs.select(F.col(key).alias("doc_id"), "text"), k, num, den), "linked")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     # always by shuffle: what is joined to the texts grows with them
-    kept = docs.join(gone.hint("merge"), docs["doc_id"] == F.col(name), "left_anti")
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn(nth, F.row_number().over(first)).filter(F.col("doc_id").isNull() | (F.col(nth) == 1)).drop(nth)
+    kept = docs.join(gone.hint("merge"), docs[key] == F.col(name), "left_anti")
+    return kept.drop(number) if key == number else kept
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

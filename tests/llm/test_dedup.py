@@ -133,6 +133,15 @@ def test_representatives(spark):
     assert twice.count() == len(kept) and twice.columns == df.columns
 
 
+def test_representatives_of_a_repeated_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(1, a), (1, b), (1, b), (2, b + " more"), (3, a), (3, c), (3, ""), (4, c), (None, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = ngram_join.representatives(df, 5, 80, 100)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (1, b), (3, c), (3, ""), (0, a)])
+
+
 def test_search_finds_every_link():
     rng = np.random.default_rng(7)
     base = np.unique(rng.integers(0, 2**62, 80).astype(np.uint64))
