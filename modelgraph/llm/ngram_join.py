@@ -13,8 +13,8 @@ with the required overlap are linked.  A candidate that is already connected
 with the query needn't be probed, so a group of n near copies costs about n
 verifications, and no list of pairs is ever emitted.
 
-Large cells are split into blocks that are searched pairwise, so memory stays
-bounded at any cell size; no cap drops a candidate.
+Large cells are split into blocks, so memory stays bounded at any cell size; no
+cap drops a candidate.
 
 Defined cases: a null or empty text has the empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole word sequence as
@@ -33,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, components, free_name, shuffle_parts, stored, table, utf8
@@ -48,6 +48,14 @@ MU = 0.0085
 #: common; most documents can do without theirs.
 SIEVE = 4096
 
+#: Keys of parts that a task gathers before it sends them on, sorted by bucket.
+GATHER = 1_200_000
+#: Documents of one gathering that make their common key a common one: they go on
+#: at once, dealt by document, and only a mark reaches the key's bucket.
+HEAVY = 512
+#: Bytes of text whose keys fill a bucket.
+BUCKET_TEXT = 16_000_000
+
 _WORDS: dict[bytes, int] = {}
 
 
@@ -66,15 +74,14 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=k)], dtype=np.uint64)
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
     try:
         ids = list(map(_WORDS.__getitem__, words))
     except KeyError:
-        for w in set(words):
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        ids = list(map(_WORDS.__getitem__, words))
+        own = {w: xxhash.xxh3_64_intdigest(w) for w in set(words) if w not in _WORDS}
+        if len(_WORDS) > 100_000:
+            _WORDS.clear()
+        ids = [own.get(w) or _WORDS.get(w) or xxhash.xxh3_64_intdigest(w) for w in words]
+        _WORDS.update((w, h) for w, h in own.items() if len(w) < 40)  # so the cache is bounded in bytes
     h = np.array(ids, dtype=np.uint64)
     n = len(h) - k + 1
     s = h[:n].copy()
@@ -195,80 +202,151 @@ def _batch(kind: int, a: object, b: object, c: object = None, n: object = None,
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int64()), column(a), column(b), column(c), column(n), last], names=["kind", "a", "b", "c", "n", "bits"])
 
 
-def _sketched(batches: Iterable[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+class Gathered:
+    """Part keys of a task's documents, sent on as one row a bucket.
+
+    In its bucket a key goes by its low 32 bits: keys that only look equal there
+    make a group larger, and the sieve parts them again."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.size = buckets, 0
+        self.keys: list[np.ndarray] = []
+        self.owner: list[tuple[int, int, int, int]] = []  # doc, class, margin, keys
+
+    def add(self, doc: int, keys: np.ndarray, classes: np.ndarray, margins: np.ndarray) -> None:
+        first = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
+        for f, e in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+            self.owner.append((doc, int(classes[f]), int(margins[f]), e - f))
+        self.keys.append(keys)
+        self.size += len(keys)
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """The rows of what is gathered, and of keys that are heavy here."""
+        if not self.size:
+            return
+        keys = np.concatenate(self.keys)
+        doc, cls, margin, n = (np.array(c, dtype=np.int64) for c in zip(*self.owner, strict=True))
+        entry = np.repeat(np.arange(len(doc)), n)
+        self.keys, self.owner, self.size = [], [], 0
+        full = ((keys >> np.uint64(32)) % np.uint64(self.buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+        order = np.argsort(full, kind="stable")
+        full, entry = full[order], entry[order]
+        first = np.flatnonzero(np.r_[True, full[1:] != full[:-1]])
+        run = np.diff(np.r_[first, len(full)])
+        marks = full[first[run >= HEAVY]]
+        if len(marks):
+            heavy = np.repeat(run >= HEAVY, run)
+            yield from _commons(full[heavy].view(np.int64), entry[heavy], doc, cls, margin)
+            full, entry = full[~heavy], entry[~heavy]
+        bucket, marked = (full >> np.uint64(32)).astype(np.int64), (marks >> np.uint64(32)).astype(np.int64)
+        rows = []
+        for b in np.unique(np.r_[bucket, marked]).tolist():
+            f, e = np.searchsorted(bucket, [b, b + 1])
+            mine, at = np.unique(entry[f:e], return_inverse=True)
+            rows.append((b, _pack(doc[mine], cls[mine], margin[mine], full[f:e].astype(np.uint32), at, marks[marked == b].astype(np.uint32))))
+            if len(rows) == 1000:
+                yield _batch(KEY, [r[0] for r in rows], [0] * len(rows), bits=[r[1] for r in rows])
+                rows = []
+        if rows:
+            yield _batch(KEY, [r[0] for r in rows], [0] * len(rows), bits=[r[1] for r in rows])
+
+
+def _commons(keys: np.ndarray, entry: np.ndarray, doc: np.ndarray, cls: np.ndarray, margin: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for f in range(0, len(keys), 100_000):
+        at = entry[f : f + 100_000]
+        yield _batch(COMMON, keys[f : f + 100_000], doc[at], cls[at].astype(np.int64), margin[at].astype(np.int64))
+
+
+def _pack(doc: np.ndarray, cls: np.ndarray, margin: np.ndarray, keys: np.ndarray, entry: np.ndarray, marks: np.ndarray) -> bytes:
+    """Entries (document, class, margin), sorted keys each with its entry, marks."""
+    import zstandard
+
+    parts = [doc.astype("<i8"), cls.astype("u1"), margin.astype("<i4"), np.diff(keys, prepend=np.uint32(0)).astype("<u4"), entry.astype("<u2" if len(doc) <= 1 << 16 else "<u4"), marks.astype("<u4")]
+    # numbers of like size stand byte by byte: the high ones are alike
+    raw = [np.ascontiguousarray(p.view(np.uint8).reshape(len(p), p.itemsize).T).tobytes() for p in parts]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(doc), len(keys), len(marks)], "<u4").tobytes() + b"".join(raw))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m, k = np.frombuffer(raw, "<u4", 3).tolist()
+    at, out = 12, []
+    for size, kind in ((n, "<i8"), (n, "u1"), (n, "<i4"), (m, "<u4"), (m, "<u2" if n <= 1 << 16 else "<u4"), (k, "<u4")):
+        width = np.dtype(kind).itemsize
+        part = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(part.T).reshape(-1).view(kind))
+        at += size * width
+    out[3] = np.cumsum(out[3], dtype=np.uint32)
+    return out
+
+
+def _sketched(batches: Iterable[pa.RecordBatch], k: int, num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row of kind DOC for each document, then those of its task's part keys."""
     seen: set[tuple[int, int]] = set()  # a task's copies share all keys of the first
+    gathered = Gathered(buckets)
     for batch in chunks(batches, "text", 2_000_000):
-        rows, found, docs = [], [], []
+        rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = shingles(text, k)
             key = set_key(s)
             rows.append((doc_id, *key, len(s), parity_bits(s, num, den)))
             if len(s) and doc_id is not None and key not in seen:
-                if len(seen) > 300_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add(key)
-                found.append(part_keys(s, num, den))
-                docs.append(doc_id)
+                gathered.add(doc_id, *part_keys(s, num, den))
+                if gathered.size > GATHER:
+                    yield from gathered.sent()
         yield _batch(DOC, *zip(*rows, strict=True))
-        if found:
-            keys, classes, margins = (np.concatenate(x) for x in zip(*found, strict=True))
-            owner = np.repeat(np.array(docs, dtype=np.int64), [len(f[0]) for f in found])
-            yield _batch(KEY, keys.view(np.int64), owner, classes, margins)
+    yield from gathered.sent()
 
 
 def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come dealt and sorted by (kind, a, b).  The documents of a key are
-    the members of a group named by their list, so that the many keys that near
-    copies share name one group.  The rows of a common key, and all else, are
-    passed on."""
-    import xxhash
-
-    key, run, common = None, [], False
-    named: set[int] = set()
-
-    def part() -> Iterator[pa.RecordBatch]:
-        """What is gathered of the run so far, as rows of a common key."""
-        a, b, c, n = (np.concatenate(x) for x in zip(*run, strict=True))
-        yield _batch(COMMON, a, b, c, n)
-        run.clear()
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if not run:
-            return
-        if common:
-            yield from part()
-            return
-        docs = np.unique(np.concatenate([r[1] for r in run]))
-        run.clear()
-        name = int.from_bytes(xxhash.xxh3_64_digest(docs.tobytes()), "little", signed=True)
-        if len(docs) > 1 and name not in named:
-            if len(named) > 500_000:
-                named.clear()
-            named.add(name)
-            yield _batch(MEMBER, np.full(len(docs), name), docs)
-
+    """Rows come dealt by bucket, one to a partition.  The documents of a key are
+    the members of a group named by their set, so that the many keys that near
+    copies share name one group.  The documents of a common key become rows of it,
+    and all other rows are passed on."""
+    parts, bucket = [], 0
     for batch in batches:
         kind = batch.column(0).to_numpy()
-        other = np.flatnonzero(kind != KEY)
-        if len(other):
-            yield batch.take(pa.array(other))
-        here = np.flatnonzero(kind == KEY)
-        if not len(here):
-            continue
-        a, b, c, n = (batch.column(k).take(pa.array(here)).to_numpy() for k in (1, 2, 3, 4))
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        ends = np.r_[first[1:], len(a)]
-        # single documents in the middle need no look; the first and last run may go on
-        look = np.flatnonzero((ends - first > 1) | (np.arange(len(first)) == 0) | (np.arange(len(first)) == len(first) - 1))
-        for f, e in zip(first[look].tolist(), ends[look].tolist(), strict=True):
-            if a[f] != key:
-                yield from done()
-                key, common = a[f], False
-            run.append((a[f:e], b[f:e], c[f:e], n[f:e]))
-            if sum(len(r[0]) for r in run) > SIEVE:
-                common = True
-                yield from part()
-    yield from done()
+        if (kind != KEY).any():
+            yield batch.filter(pa.array(kind != KEY))
+        for i in np.flatnonzero(kind == KEY).tolist():
+            bucket = batch.column(1)[i].as_py()
+            parts.append(_unpack(batch.column(5)[i].as_py()))
+    if not parts:
+        return
+    shift = np.cumsum([0, *[len(p[0]) for p in parts]])
+    doc, cls, margin, keys = (np.concatenate([p[c] for p in parts]) for c in range(4))
+    entry = np.concatenate([p[4].astype(np.uint32) + np.uint32(s) for p, s in zip(parts, shift, strict=False)])
+    marks = np.concatenate([p[5] for p in parts])
+    parts.clear()
+    order = np.argsort(keys, kind="stable")
+    keys, entry = keys[order], entry[order]
+    del order
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    run = np.diff(np.r_[first, len(keys)])
+    common = (run > SIEVE) | np.isin(keys[first], marks)
+    if common.any():
+        held = np.repeat(common, run)
+        yield from _commons(keys[held].astype(np.int64) | np.int64(bucket << 32), entry[held], doc, cls, margin)
+    # a group's name is a sum over its members; each name is told once
+    several = (run > 1) & ~common
+    if not several.any():
+        return
+    member = doc[entry[np.repeat(several, run)]]
+    run = run[several]
+    first = np.cumsum(run) - run
+    name = _mix(np.add.reduceat(_mix(member.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), first))
+    name, once = np.unique(name, return_index=True)
+    first, run = first[once], run[once]
+    step = max(1, 200_000 // int(run.max()))
+    for f in range(0, len(name), step):
+        n = run[f : f + step]
+        at = np.repeat(first[f : f + step] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield _batch(MEMBER, np.repeat(name[f : f + step], n).view(np.int64), member[at])
 
 
 def _sieved(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -292,9 +370,9 @@ def _sieved(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[p
 
 # -- search ---------------------------------------------------------------
 
-def search(sets: list[np.ndarray], blocks: list[int] | None, num: int, den: int, all_links: bool = False) -> list[tuple[int, int]]:
-    """Links (i, j) between the sets; if ``blocks`` are given, between sets of
-    different blocks only.  Without ``all_links``, enough links to connect what
+def search(sets: list[np.ndarray], parts: list[int] | None, num: int, den: int, all_links: bool = False) -> list[tuple[int, int]]:
+    """Links (i, j) between the sets; if ``parts`` are given, between sets of
+    different parts only.  Without ``all_links``, enough links to connect what
     is connected."""
     sizes = [len(s) for s in sets]
     order = sorted(range(len(sets)), key=lambda i: (sizes[i], i))
@@ -326,7 +404,7 @@ def search(sets: list[np.ndarray], blocks: list[int] | None, num: int, den: int,
                 if c < least - n_long:
                     continue
                 j = order[y]
-                if (blocks and blocks[i] == blocks[j]) or den * sizes[j] < num * sizes[i]:
+                if (parts and parts[i] == parts[j]) or den * sizes[j] < num * sizes[i]:
                     continue
                 if not all_links and find(i) == find(j):
                     continue
@@ -347,7 +425,8 @@ def search(sets: list[np.ndarray], blocks: list[int] | None, num: int, den: int,
 
 
 def _searched(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (cell, i, j); each run of these is one search."""
+    """Rows come sorted by (cell, i, j); each run of these is one search, between
+    different parts if there are parts."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -357,7 +436,7 @@ def _searched(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator
     for key, run in itertools.groupby(rows(), key=lambda r: r[:3]):
         members = sorted(run, key=lambda r: (r[4], r[5]))
         sets = [np.frombuffer(r[5], dtype=np.uint64) for r in members]
-        links = search(sets, [r[3] for r in members] if key[1] != key[2] else None, num, den)
+        links = search(sets, None if members[0][3] is None else [r[3] for r in members], num, den)
         if links:
             yield _batch(EDGE, [members[i][4] for i, _ in links], [members[j][4] for _, j in links])
 
@@ -379,8 +458,12 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     those of either."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = docs.mapInArrow(lambda it: _sketched(it, k, num, den), _SKETCH)
-    sketch = stored(sketch.repartition(shuffle_parts(spark), "a").sortWithinPartitions("kind", "a", "b").mapInArrow(_met, _SKETCH), "sketch")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_parts(spark), -(-int(size) // BUCKET_TEXT))
+    sketch = docs.mapInArrow(lambda it: _sketched(it, k, num, den, buckets), _SKETCH)
+    # one bucket to a partition; all other rows are spread
+    place = F.when(F.col("kind") == KEY, F.col("a")).otherwise(F.pmod(F.xxhash64("a", "b", "c"), F.lit(buckets))).cast("int")
+    sketch = stored(sketch.repartitionById(buckets, place).mapInArrow(_met, _SKETCH), "sketch")
     found = sketch.filter(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("hi"), F.col("c").alias("lo"), "n")
     bits = sketch.filter((F.col("kind") == DOC) & F.col("a").isNotNull() & (F.col("n") > 0)).select(F.col("a").alias("doc"), F.col("n").alias("size"), "bits")
     groups = sketch.filter(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("doc")).distinct()
@@ -395,23 +478,78 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     edges = near.union(bound.join(lowest, "key").select("doc", "low").filter("doc <> low"))
     coarse = components(edges, "coarse")
 
-    classes = stored(found.filter("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
-    celled = found.join(coarse, found["doc_id"] == coarse["node"]).groupBy("hi", "lo").agg(F.min("component").alias("cell"))
+    # of documents without an empty set, one stands for each class of equal sets
+    full = found.filter("doc_id IS NOT NULL AND n > 0")
+    classes = stored(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    celled = full.join(coarse, full["doc_id"] == coarse["node"]).groupBy("hi", "lo").agg(F.min("component").alias("cell"))
     celled = stored(celled.join(classes, ["hi", "lo"]), "celled")
     large = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("_members"), F.sum("n").alias("_tokens")).filter("_members > 1")
-    celled = celled.join(large.select("cell", F.ceil(F.when(F.col("_tokens") > BLOCK_TOKENS, 2 * F.col("_tokens") / BLOCK_TOKENS).otherwise(1)).cast("long").alias("blocks")), "cell")
+    celled = celled.join(large.select("cell", _blocks("_tokens").alias("blocks")), "cell")
     # always by shuffle: what is joined to the texts grows with them
     sets = docs.join(celled.hint("merge"), docs["doc_id"] == celled["rep"]).select("text", "hi", "lo", "cell", "rep", "n", "blocks")
-    sets = sets.mapInArrow(lambda it: _shipped(it, k), "cell long, rep long, n long, blocks long, tokens binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sets = sets.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "tokens")
-    sets = sets.repartition(shuffle_parts(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    links = sets.mapInArrow(lambda it: _searched(it, num, den), _SKETCH).select("a", "b")
-    fine = components(links, "fine")
+    sets = stored(sets.mapInArrow(lambda it: _shipped(it, k), "cell long, rep long, n long, blocks long, tokens binary"), "sets")
+    fine = components(_links(sets, num, den), "fine")
 
     named = classes.join(fine, classes["rep"] == fine["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
-    alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return found.join(named, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    # the empty set, which very many documents may have, takes no part in the join
+    out = full.join(named, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rest = found.filter("doc_id IS NULL OR n = 0")
+    return out.union(rest.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id")))
+
+
+def _blocks(tokens: str) -> Column:
+    return F.ceil(F.when(F.col(tokens) > BLOCK_TOKENS, 2 * F.col(tokens) / BLOCK_TOKENS).otherwise(1)).cast("long")
+
+
+def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is connected in each cell of ``sets``
+    (cell, rep, n, blocks, tokens).
+
+    A cell of one block is searched at once.  A larger one isn't paired block by
+    block: first each block is searched for itself, then the smallest member of
+    each part found so far, among its like.  Mostly one part holds the bulk of a
+    cell by then.  Only what stands outside it is searched against every block,
+    and only for links between different parts."""
+    spark = sets.sparkSession
+
+    def found(tasks: DataFrame) -> DataFrame:
+        tasks = tasks.select("cell", "i", "j", "part", "rep", "tokens").repartition(shuffle_parts(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+        return tasks.mapInArrow(lambda it: _searched(it, num, den), _SKETCH).select("a", "b")
+
+    spread = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
+    none = F.lit(None).cast("long")
+    links = stored(found(sets.withColumns({"i": spread(1, F.col("blocks")), "j": none, "part": none})), "links")
+    parted = sets.filter("blocks > 1")
+    if parted.isEmpty():
+        return links
+    for turn in (1, 2):
+        mine = parted.select(F.col("rep").alias("a")).hint("merge")
+        parts = components(links.join(mine, "a", "left_semi"), f"parts{turn}")
+        label = parted.select("cell", "rep", "n", "blocks").join(parts, F.col("rep") == F.col("node"), "left")
+        label = stored(label.select("cell", "rep", "n", "blocks", F.coalesce("component", "rep").alias("part")), f"labels{turn}")
+        if turn == 1:
+            heads = label.groupBy("cell", "part").agg(F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"))
+            many = heads.groupBy("cell").agg(_blocks_of("n").alias("heads"))
+            heads = parted.select("cell", "rep", "tokens").join(heads.select("rep").hint("merge"), "rep").join(many, "cell")
+            links = stored(links.union(found(heads.withColumns({"i": spread(2, F.col("heads")), "j": none, "part": none}))), "links-of-heads")
+    sizes = label.groupBy("cell", "part").agg(F.sum("n").alias("size"))
+    bulk = sizes.groupBy("cell").agg(F.max_by("part", F.struct("size", "part")).alias("bulk"))
+    outside = label.join(bulk, "cell").filter("part <> bulk")
+    turns = outside.groupBy("cell").agg(_blocks_of("n").alias("turns"))
+    outside = stored(outside.select("rep", F.lit(True).alias("outside")), "outside")
+    if outside.isEmpty():
+        return links
+    # (i, j): a block of what stands outside against a block of the cell
+    every = parted.join(label.select("rep", "part"), "rep").join(outside.hint("merge"), "rep", "left").join(turns, "cell")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = every.withColumn("j", spread(3, F.col("blocks"))).withColumn("i", upto("turns"))
+    seekers = every.filter("outside").withColumn("i", spread(4, F.col("turns"))).withColumn("_own", spread(3, F.col("blocks"))).withColumn("j", upto("blocks")).filter("j <> _own").drop("_own")
+    return links.union(found(members.unionByName(seekers)))
+
+
+def _blocks_of(tokens: str) -> Column:
+    """Blocks that the rows of a group fill."""
+    return F.greatest(F.lit(1), F.ceil(2 * F.sum(tokens) / BLOCK_TOKENS)).cast("long")
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
