@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, slots in an output shard.
 BLOCK = 128
 SLOTS = 512
+#: Slots whose permutations a task computes.
+SLOTS_A_TASK = 50_000
 #: Words the mix has, as a share of all words; most passes over a source.
 SHARE = (3, 2)
 MOST = 2
@@ -110,7 +112,10 @@ def plan(sources: DataFrame) -> DataFrame:
     known = s.join(begin, "base", "left").na.fill(0, ["drawn"])
     known = known.withColumns({"over": F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), "short": F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))})
     known = stored(running_totals(known, [F.col("base")], {"over_first": "over", "short_first": "short"}, "settle"), "settled")
-    drawn = counts.join(known, "base").withColumn("k", F.explode(F.sequence(F.col("_run") - F.col("_begin"), F.col("_run") - F.col("_begin") + F.col("n") - 1)))
+    # a row of counts is many slots, each with a permutation to compute: dealt by an
+    # explicit number, which isn't coalesced
+    deal = max(shuffle_parts(spark), slots // SLOTS_A_TASK)
+    drawn = counts.join(known, "base").repartition(deal, "base", "shard").withColumn("k", F.explode(F.sequence(F.col("_run") - F.col("_begin"), F.col("_run") - F.col("_begin") + F.col("n") - 1)))
     facts = ["base", "source_size", "words", "blocks", "passes", "quota"]
     kept = drawn.filter("k < quota").select("shard", *facts, "k")
     spare = drawn.filter("k >= quota").select("shard", (F.col("over_first") + F.col("k") - F.col("quota")).alias("_at"))
