@@ -7,6 +7,8 @@ Expressions are written as in the text language."""
 
 from __future__ import annotations
 
+import dataclasses
+
 from . import ir
 from .syntax import read_expression
 from .syntax.reader import Reader
@@ -75,7 +77,7 @@ class ModelBuilder:
         return self._add(ir.Dedup(tuple(map(read_expression, by))))
 
     def incremental(self, strategy: str, cdc_column: str, *keys: str) -> ModelBuilder:
-        self.definition.incremental = ir.Incremental(strategy, tuple(map(read_expression, keys)), cdc_column)
+        self.definition.upkeep = dataclasses.replace(self.definition.upkeep, merge=ir.Merge(strategy), merge_on=tuple(map(read_expression, keys)), watermark=cdc_column)
         return self
 
     def build(self) -> ir.Model:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..errors import ModelError
 from ..ir import Expr, Lit
@@ -34,6 +35,7 @@ class Arguments:
     name: str
     typed: tuple[Typed, ...]
     exprs: tuple[Expr, ...]
+    documents: tuple[Callable[[], Column] | None, ...] = ()
 
     @property
     def types(self) -> list[Type]:
@@ -47,6 +49,11 @@ class Arguments:
         e = self.exprs[i]
         return e.value if isinstance(e, Lit) else None
 
+    def document(self, i: int, c: Sequence[Column]) -> Column:
+        """JSON argument ``i`` as a variant, parsed once if it is known as one."""
+        known = self.documents[i] if i < len(self.documents) else None
+        return known() if known else F.try_parse_json(c[i])
+
     def reject(self, why: str, code: str = "E063") -> ModelError:
         return ModelError(code, f"{self.name}(): {why}")
 
@@ -66,6 +73,7 @@ class Function:
     aggregate: bool = False
     window: bool = False
     doc: str = ""
+    variant: Lower | None = None
 
     def kind(self, i: int) -> str:
         return self.kinds[min(i, len(self.kinds) - 1)] if self.kinds else "any"
@@ -94,15 +102,15 @@ def find(name: str) -> Function:
     return CATALOG[name]
 
 
-def function(name: str, kinds: Sequence[str] = (), least: int | None = None, most: int | None = -1, *, rule: Rule, aggregate: bool = False, window: bool = False, doc: str = "", aliases: Sequence[str] = ()) -> Callable[[Lower], Lower]:
+def function(name: str, kinds: Sequence[str] = (), least: int | None = None, most: int | None = -1, *, rule: Rule, aggregate: bool = False, window: bool = False, doc: str = "", variant: Lower | None = None, aliases: Sequence[str] = ()) -> Callable[[Lower], Lower]:
     """Register the decorated lowering; by default it takes exactly the listed
-    kinds of arguments."""
+    kinds of arguments.  ``variant`` gives a JSON result that isn't text yet."""
     lowest = len(kinds) if least is None else least
     highest = len(kinds) if most == -1 else most
 
     def add(lower: Lower) -> Lower:
         for n in (name, *aliases):
-            CATALOG[n] = Function(n, tuple(kinds), lowest, highest, rule, lower, aggregate, window, doc)
+            CATALOG[n] = Function(n, tuple(kinds), lowest, highest, rule, lower, aggregate, window, doc, variant)
         return lower
 
     return add

@@ -1,4 +1,6 @@
-"""JSON functions. Documents are strings; they are parsed where they are used."""
+"""JSON functions.  Documents are strings in tables.  Within a model they are
+variants: a document is parsed once, and what one function gives another takes on
+without becoming text in between."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ def _member_rule(result: Typed) -> Rule:
 def _at(c: list[Column], a: Arguments) -> Column:
     """The member as a variant: a literal key is a path step, any other value is
     looked up as one exact key."""
-    doc, key = F.try_parse_json(c[0]), a.literal(1)
+    doc, key = a.document(0, c), a.literal(1)
     if isinstance(key, str):
         return F.try_variant_get(doc, f"$.{key}", "variant")
     escaped = F.replace(F.replace(c[1], F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
@@ -44,7 +46,7 @@ def as_scalar(v: Column) -> Column:
     return F.when(plain, F.try_variant_get(v, "$", "string"))
 
 
-@function("json_get", ["json", "string"], rule=_member_rule(Typed(JSON, True)), doc="a JSON null stays one; a missing member is null")
+@function("json_get", ["json", "string"], rule=_member_rule(Typed(JSON, True)), doc="a JSON null stays one; a missing member is null", variant=lambda a, c: _at(c, a))
 def _get(a: Arguments, c: list[Column]) -> Column:
     return as_json(_at(c, a))
 
@@ -61,9 +63,13 @@ def _path_rule(a: Arguments) -> Typed:
     return Typed(JSON, True)
 
 
-@function("json_path", ["json", "string"], rule=_path_rule)
+def _along(a: Arguments, c: list[Column]) -> Column:
+    return F.try_variant_get(a.document(0, c), str(a.literal(1)), "variant")
+
+
+@function("json_path", ["json", "string"], rule=_path_rule, variant=_along)
 def _path(a: Arguments, c: list[Column]) -> Column:
-    return as_json(F.try_variant_get(F.try_parse_json(c[0]), str(a.literal(1)), "variant"))
+    return as_json(_along(a, c))
 
 
 def _build_rule(a: Arguments) -> Typed:
@@ -80,7 +86,7 @@ def _build_rule(a: Arguments) -> Typed:
 def _build(a: Arguments, c: list[Column]) -> Column:
     def part(i: int) -> Column:
         t = a.types[i]
-        value = F.try_parse_json(c[i]) if t == JSON else c[i].cast("string") if t == UNKNOWN else c[i]
+        value = a.document(i, c) if t == JSON else c[i].cast("string") if t == UNKNOWN else c[i]
         return value.alias(str(a.literal(i - 1)))
 
     return F.to_json(F.struct(*[part(i) for i in range(1, len(c), 2)]), {"ignoreNullFields": "false"})
@@ -88,4 +94,5 @@ def _build(a: Arguments, c: list[Column]) -> Column:
 
 @function("json_is_null", ["json"], rule=lambda a: Typed(BOOL, True))
 def _is_null(a: Arguments, c: list[Column]) -> Column:
-    return F.when(c[0].isNotNull(), F.is_variant_null(F.try_parse_json(c[0])))
+    doc = a.document(0, c)
+    return F.when(c[0].isNotNull() if not a.documents else doc.isNotNull(), F.is_variant_null(doc))

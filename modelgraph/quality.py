@@ -12,6 +12,7 @@ from . import ir
 from .errors import ModelError, PinError
 from .operators.relational import col
 from .plans.compiler import JoinCheck
+from .syntax.printer import expectation
 from .types import Type, to_spark
 
 
@@ -48,11 +49,11 @@ def violations(df: DataFrame, contract: ir.Contract) -> DataFrame:
     by one pass over the data.  Columns are named ``<column>__<what>``."""
     cells = []
     for c in contract.columns:
-        if not c.nullable or c.primary:
+        if not c.nullable or c.promise.key == "primary":
             cells.append(F.sum(F.when(col(c.name).isNull(), 1).otherwise(0)).alias(f"{c.name}__is null"))
-        if c.enum:
-            cells.append(F.sum(F.when(~col(c.name).isin(*c.enum), 1).otherwise(0)).alias(f"{c.name}__isn't one of " + ", ".join(sorted(c.enum))))
-        if c.unique or c.primary:
+        if known := sorted(c.promise.values):
+            cells.append(F.sum(F.when(~col(c.name).isin(*known), 1).otherwise(0)).alias(f"{c.name}__isn't one of " + ", ".join(known)))
+        if c.promise.key:
             cells.append((F.count(F.lit(1)) - F.count_distinct(col(c.name))).alias(f"{c.name}__isn't unique"))
     return df.agg(*cells) if cells else df.select()
 
@@ -79,25 +80,34 @@ _COMPARE: dict[str, Callable] = {
 
 def run_tests(tests: Iterable[ir.Test], frame: Callable[[str], DataFrame], only: set[str] | None = None) -> list[str]:
     """Evaluate declarative tests; one line for each that holds, an error at the
-    first that doesn't.  All column checks of a model share one pass."""
+    first that doesn't."""
     lines = []
     for t in tests:
         if only is not None and t.model not in only:
             continue
-        df = frame(t.model)
-        columns = [c for c in t.checks if c.kind == "column"]
-        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(~_COMPARE[c.op](col(c.column), F.lit(c.value)), 1).otherwise(0)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        bad = {id(c): counts[f"c{i}"] or 0 for i, c in enumerate(columns)}
-        for c in t.checks:
-            if c.kind == "row_count":
-                what, failed = f"row_count {c.op} {c.value}", "" if _COMPARE[c.op](counts["rows"], c.value) else f"there are {counts['rows']}"
-            elif c.kind == "referential":
-                other = frame(c.model).select(col(c.other).alias("__there"))
-                orphans = df.filter(col(c.column).isNotNull()).join(other, col(c.column) == F.col("__there"), "left_anti").count()
-                what, failed = f"{c.column} in {c.model}.{c.other}", f"{orphans} rows are orphans" if orphans else ""
-            else:
-                what, failed = f"{c.column} {c.op} {c.value!r}", f"{bad[id(c)]} of {counts['rows']} rows break it" if bad[id(c)] else ""
+        for e, failed in broken(t, frame):
             if failed:
-                raise ModelError("E081", f"test {t.model}: {what}: {failed}")
-            lines.append(f"{t.model}: {what}")
+                raise ModelError("E081", f"test {t.model}: {expectation(e)}: {failed}")
+            lines.append(f"{t.model}: {expectation(e)}")
     return lines
+
+
+def broken(t: ir.Test, frame: Callable[[str], DataFrame]) -> list[tuple[ir.Expectation, str]]:
+    """What is wrong by each expectation of a test, or nothing.  The rows are
+    counted, and all values compared, in one pass."""
+    df = frame(t.model)
+    cells = {e: F.count(F.lit(1)) if isinstance(e, ir.ExpectRows) else F.count_if(~_COMPARE[e.op](col(e.column), F.lit(e.value))) for e in t.expects if not isinstance(e, ir.ExpectParents)}
+    row = df.agg(F.count(F.lit(1)), *cells.values()).first()
+    counts = dict(zip(cells, row[1:], strict=True))
+    out = []
+    for e in t.expects:
+        match e:
+            case ir.ExpectRows(op, value):
+                out.append((e, "" if _COMPARE[op](row[0], value) else f"there are {row[0]}"))
+            case ir.ExpectValues():
+                out.append((e, f"{counts[e]} of {row[0]} rows break it" if counts[e] else ""))
+            case ir.ExpectParents(column, model, parent):
+                parents = frame(model).select(col(parent).alias("__there"))
+                orphans = df.filter(col(column).isNotNull()).join(parents, col(column) == F.col("__there"), "left_anti").count()
+                out.append((e, f"{orphans} rows are orphans" if orphans else ""))
+    return out

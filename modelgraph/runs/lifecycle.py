@@ -45,6 +45,13 @@ def limit_of(value: str) -> dt.timedelta:
     return dt.timedelta(**{_UNIT[m[2]]: int(m[1])})
 
 
+def guarded(condition: str) -> str:
+    """A freshness condition, if it is one expression and no more."""
+    if re.search(r";|--|/\*", condition) or re.search(r"(?i)\b(select|insert|update|delete|drop|alter|create|merge|copy|reflect|java_method)\b", condition) or not re.search(r"[<>=(]", condition):
+        raise ModelError("E095", f"unknown freshness {condition!r}")
+    return condition
+
+
 def content_hash(df: DataFrame) -> str:
     """Hash of a table's schema and rows, whatever their order; repeated rows
     count.  One pass, and one row comes back."""
@@ -95,14 +102,26 @@ class Runner:
                 continue
             changed = entry["fingerprints"].get(name) != c.fingerprint
             moved = any(entry["sources"].get(s) != hashes[s] for s in c.inputs if s in hashes) or any(d in out for d in c.depends)
-            old = any(self.now() - dt.datetime.fromisoformat(entry["at"]) > limit_of(v) for v in decl.freshness if v in _LIMIT or re.fullmatch(r"\d+[hdw]", v))
-            if decl.freshness and decl.freshness_column and not old:
-                latest = self.snapshot(name).agg(F.max(col(decl.freshness_column)).cast("timestamp_ntz")).first()[0]
-                old = latest is None or any(self.now() - latest > limit_of(v) for v in decl.freshness)
+            old = bool(decl.upkeep.ages) and self._aged(name, decl.upkeep, dt.datetime.fromisoformat(entry["at"]))
             if changed or ((moved or old) and decl.attributes.get("staleness_ok") not in ("true", "yes")):
                 out.append(name)
         return out
 
+    def _aged(self, name: str, up: ir.Upkeep, ran: dt.datetime) -> bool:
+        """Whether a snapshot is older than a word of its freshness allows, or a
+        condition on its rows, as ``max(ts) > now() - interval 2 days``, fails."""
+        words = [v for v in up.ages if v in _LIMIT or re.fullmatch(r"\d+[hdw]", v)]
+        if any(self.now() - ran > limit_of(v) for v in words):
+            return True
+        cells = [F.max(col(up.age_of)).cast("timestamp_ntz")] if up.age_of and words else []
+        now = f"timestamp_ntz'{self.now().isoformat(sep=' ')}'"
+        conditions = [F.expr(re.sub(r"(?i)\b(now|current_timestamp)\(\)", now, guarded(v))) for v in up.ages if v not in words]
+        if not cells and not conditions:
+            return False
+        found = list(self.snapshot(name).agg(*cells, *conditions).first())
+        latest = found.pop(0) if cells else self.now()
+        return latest is None or any(self.now() - latest > limit_of(v) for v in words if cells) or not all(found)
+
     # -- reading
     def snapshot(self, model: str, run: str | None = None) -> DataFrame:
         """The current rows of a model, or those of a run."""
@@ -115,28 +134,30 @@ class Runner:
     def _merged(self, name: str, full: DataFrame, previous: DataFrame | None) -> DataFrame:
         """The rows of an incremental model: those before and what is new by the
         watermark."""
-        inc = self.project.models[name].incremental
-        if inc is None or inc.strategy == "replace" or previous is None:
+        up = self.project.models[name].upkeep
+        if previous is None or not up.merges:
             return full
-        if inc.strategy == "append":
-            return incremental.append(previous, full, inc.cdc_column or "")
-        return incremental.upsert(previous, full, inc.cdc_column or "", [k.name for k in inc.keys])  # type: ignore[attr-defined]
-
-    def _compute(self, models: list[str], folder: str, inputs: dict[str, DataFrame], merge: bool = True) -> dict[str, DataFrame]:
+        if up.merge is ir.Merge.APPEND:
+            return incremental.append(previous, full, up.watermark or "")
+        return incremental.upsert(previous, full, up.watermark or "", [k.name for k in up.merge_on])  # type: ignore[attr-defined]
+
+    def _compute(self, models: list[str], folder: str, inputs: dict[str, DataFrame], before: Mapping[str, str], above: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+        """Write the models' rows under ``folder``.  ``before``: the run whose
+        snapshot each merged model starts from; ``above``: the run whose snapshot
+        stands for a model that isn't among them, by default the current one."""
         made: dict[str, DataFrame] = {}
-        live = self.store.live()
 
         def get(node: str) -> DataFrame:
             if node in inputs:
                 return inputs[node]
-            return made[node] if node in made else self.snapshot(node)
+            return made[node] if node in made else self.snapshot(node, (above or {}).get(node))
 
         for name in models:
             c, decl = self.project.compiled[name], self.project.models[name]
             for check in c.joins:
                 hold_join(check, get(c.inputs[0]), get(check.table), name)
-            previous = self.snapshot(name) if merge and name in live and decl.incremental and self.store.exists("runs", live[name], "models", name) else None
-            parts = [p.name for p in decl.partition_by if isinstance(p, ir.Ref) and p.name in c.schema]
+            previous = self.snapshot(name, before[name]) if name in before else None
+            parts = [p.name for p in decl.upkeep.partitions if isinstance(p, ir.Ref) and p.name in c.schema]
             with self.metrics.timed("model", model=name):
                 made[name] = self.store.write(self._merged(name, c.lower(get), previous), folder, "models", name, partition_by=parts)
             if decl.contract:
@@ -150,14 +171,14 @@ class Runner:
         inputs = {n: self.sources.get(self.project.sources[n]) for n in self.sources_of(order)}
         folder = f"branches/{branch}"
         self.store.delete(folder)
-        made = self._compute(order, folder, inputs, merge=False)
+        made = self._compute(order, folder, inputs, {})
         return run_tests(self.project.tests, made.__getitem__, set(made))
 
     def run(self, models: list[str] | None = None, *, only_stale: bool = False, overrides: Mapping | None = None, reason: str = "", pipeline: str | None = None) -> RunResult:
         """Compute and publish models (by default all, or those of a pipeline)."""
         p = self.project.pipeline(pipeline) if pipeline else None
         if p is not None:
-            models, overrides = models or self.project.pipeline_models(p), {**p.sources, **(overrides or {})}
+            models, overrides = models or self.project.pipeline_models(p), {**p.overrides, **(overrides or {})}
         self.project.check(None)
         sources = self.sources.overridden(overrides or {})
         with self.store.locked():
@@ -173,7 +194,7 @@ class Runner:
 
     def _publish(self, order: list[str], frames: dict[str, DataFrame], hashes: Mapping[str, str], reason: str = "", of: str = "") -> RunResult:
         live = self.store.live()
-        merged = {m: live[m] for m in order if m in live and (i := self.project.models[m].incremental) and i.strategy != "replace"}
+        merged = {m: live[m] for m in order if m in live and self.project.models[m].upkeep.merges and self.store.exists("runs", live[m], "models", m)}
         used = {n: hashes[n] for n in self.sources_of(order)}
         above = {d: live[d] for m in order for d in self.project.compiled[m].depends if d not in order and d in live}
         entry: dict = {"layout": LAYOUT, "models": order, "fingerprints": {m: self.project.compiled[m].fingerprint for m in order}, "sources": used, "above": above, "merged": merged, "reason": reason, "of": of}
@@ -185,7 +206,7 @@ class Runner:
             for n, df in inputs.items():
                 if content_hash(df) != hashes[n]:
                     raise PinError("E098", f"source {n!r} changed while it was copied")
-            made = self._compute(order, folder, inputs)
+            made = self._compute(order, folder, inputs, merged)
             entry["content"] = {m: content_hash(df) for m, df in made.items()}
             tests = run_tests(self.project.tests, lambda m: made[m] if m in made else self.snapshot(m), set(order))
             reused = self.store.exists("runs", run)
@@ -253,7 +274,7 @@ class Runner:
         entry, inputs = self.store.entry(run), self._frozen(run)
         folder = f"runs/.replay-{uuid.uuid4().hex[:8]}"
         try:
-            made = self._compute(entry["models"], folder, inputs, merge=False) if not entry["merged"] else {}
+            made = self._compute(entry["models"], folder, inputs, entry["merged"], entry["above"])
             for m, df in made.items():
                 if content_hash(df) != entry["content"][m]:
                     raise PinError("E098", f"replay of run {run} gives other rows of {m!r}")

@@ -18,12 +18,15 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ModelError
 
 #: Version of the files' layout.
 LAYOUT = 1
 _LOCKS: dict[str, threading.RLock] = {}
+#: Before the names of columns that only name folders.
+_FOLDER = "__folder_"
 
 
 class Store:
@@ -74,27 +77,49 @@ class Store:
         context.rename(self._path(self.path(new)), self._path(self.path(name)), kinds)
 
     @contextlib.contextmanager
-    def locked(self, wait: float = 60.0, stale: float = 3600.0) -> Iterator[None]:
+    def locked(self, wait: float = 60.0, stale: float = 120.0) -> Iterator[None]:
         """One writer at a time: a lock for threads, and a file that only one
-        process can create.  A file older than ``stale`` seconds is taken over."""
+        process can create.  The holder renews the file's time as long as it lives,
+        so only a file whose holder is gone gets older than ``stale`` seconds; it is
+        taken over.  Nobody deletes a file with another one's token."""
         with _LOCKS.setdefault(self.root, threading.RLock()):
-            file, end = self._path(self.path("_lock")), time.time() + wait
-            while True:
-                try:
-                    self._fs.create(file, False).close()
-                    break
-                except Exception as e:
-                    with contextlib.suppress(Exception):
-                        if time.time() - self._fs.getFileStatus(file).getModificationTime() / 1000 > stale:
-                            self._fs.delete(file, False)
-                            continue
-                    if time.time() > end:
-                        raise ModelError("E083", f"{self.root} is locked by another run") from e
-                    time.sleep(0.1)
+            token, end = uuid.uuid4().hex, time.time() + wait
+            while not self._take(token):
+                with contextlib.suppress(Exception):  # it may go in between
+                    age = time.time() - self._fs.getFileStatus(self._path(self.path("_lock"))).getModificationTime() / 1000
+                    if age > stale:
+                        # renamed first: of several that find it stale, one wins
+                        gone = self._path(self.path(f"_lock.{token}"))
+                        if self._fs.rename(self._path(self.path("_lock")), gone):
+                            self._fs.delete(gone, False)
+                        continue
+                if time.time() > end:
+                    raise ModelError("E083", f"{self.root} is locked by another run")
+                time.sleep(0.1)
+            done = threading.Event()
+            beat = threading.Thread(target=self._renew, args=(token, done, stale / 6), daemon=True)
+            beat.start()
             try:
                 yield
             finally:
-                self._fs.delete(file, False)
+                done.set()
+                beat.join()
+                if self.text("_lock") == token:
+                    self.delete("_lock")
+
+    def _take(self, token: str) -> bool:
+        try:
+            with contextlib.closing(self._fs.create(self._path(self.path("_lock")), False)) as f:
+                f.write(bytearray(token.encode()))
+        except Exception:  # it exists: the lock is another one's
+            return False
+        return self.text("_lock") == token
+
+    def _renew(self, token: str, done: threading.Event, every: float) -> None:
+        while not done.wait(every):
+            with contextlib.suppress(Exception):  # a missed beat is made up by the next
+                if self.text("_lock") == token:
+                    self._fs.setTimes(self._path(self.path("_lock")), int(time.time() * 1000), -1)
 
     # -- records
     def live(self) -> dict[str, str]:
@@ -131,13 +156,18 @@ class Store:
 
     # -- tables
     def write(self, df: DataFrame, *parts: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write a table and read it back, with the schema it came with."""
+        """Write a table and read it back, with the schema it came with.
+
+        Folders are named by copies of the partition columns, whose own values
+        stay in the files: a folder's name can't tell '' from null."""
         path = self.path(*parts)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        copies = {f"{_FOLDER}{c}": F.col(f"`{c}`").cast("string") for c in partition_by or ()}
+        writer = df.withColumns(copies).write.mode("overwrite")
+        (writer.partitionBy(*copies) if copies else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
     def read(self, *parts: str) -> DataFrame:
         if not self.exists(*parts):
             raise ModelError("E085", f"{self.path(*parts)} is gone")
-        return self.spark.read.parquet(self.path(*parts))
+        df = self.spark.read.parquet(self.path(*parts))
+        return df.drop(*[c for c in df.columns if c.startswith(_FOLDER)])
