@@ -4,14 +4,22 @@ Each entry is a model in the text language and the SQL that gives its rows."""
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import tables
+from .errors import ModelError
 from .operators import incremental
 from .plans import Project
 from .quality import violations
+from .runs import Runner, Store
 from .sources import Sources
+from .syntax import read_module
+from .syntax.printer import module as print_module
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,8 +166,8 @@ SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS B
 _add("join_semi", "model join_semi { from customer join_semi orders on customer.c_custkey == orders.o_custkey and orders.o_totalprice > 300000.0 select { c_custkey = c_custkey } }",
      "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 
-_add("join_anti", "model join_anti { from customer join_anti orders on customer.c_custkey == orders.o_custkey }",
-     "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_add("join_anti", 'model join_anti { from customer join_anti orders on customer.c_custkey == orders.o_custkey and orders.o_orderpriority == "1-URGENT" }',
+     "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 
 _add("join_theta", """
 model join_theta {
@@ -301,9 +309,9 @@ model dedup_by_key {
 SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value NULLS LAST, event_id NULLS LAST) AS r FROM events) WHERE r = 1""")
 
 _add("expand_array", """
-model split { from part let words = array_construct(p_brand, p_type, p_name) select { p_partkey = p_partkey, words = words } }
+model split { from part let words = array_construct(p_brand, p_type, p_name) select { p_partkey = p_partkey, words = if(p_size < 5, array_remove(array_construct(p_brand), p_brand), if(p_size < 10, null, words)) } }
 model expand_array { from split expand words as word select { p_partkey = p_partkey, word = word, n = array_length(words) } }
-""", "SELECT p_partkey, unnest([p_brand, p_type, p_name]) AS word, CAST(3 AS BIGINT) AS n FROM part")
+""", "SELECT p_partkey, unnest([p_brand, p_type, p_name]) AS word, CAST(3 AS BIGINT) AS n FROM part WHERE NOT coalesce(p_size < 10, FALSE)")
 
 _add("sort_take", "model sort_take { from orders select { o_orderkey = o_orderkey, o_totalprice = o_totalprice } sort { o_custkey desc, o_orderkey } take 25 }",
      "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 25")
@@ -423,6 +431,170 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.toDF("key_null", "key_twice", "cust_null", "cust_twice", "status_null", "status_other")
 
 
+# -- what is known of definitions ----------------------------------------------
+
+_SHOP = """
+contract Daily { day: date nonnull  total: money  who: string enum {a, b} classification: pii }
+model lines { owner: "ops" from lineitem filter l_quantity > 1.0 select { k = l_orderkey, part = l_partkey, price = l_extendedprice * (1.0 - l_discount) } }
+model priced { from orders join_left lines on orders.o_orderkey == lines.k expect many_to_one
+  let day = cast(orders.o_orderdate, "date") select { id = orders.o_orderkey, day = day, price = lines.price, rn = row_number() over (partition_by: [o_custkey], sort: [o_orderkey]) } }
+model daily { owner: "finance" from priced group {day} ( aggregate { total = sum(price), n = count() } ) }
+model people { from customer join_inner nation on customer.c_nationkey == nation.n_nationkey expect many_to_one select { c = c_custkey, n = nation.n_name } }
+test daily { expect n > 0  expect total > 1.0  expect row_count >= 10  expect row_count < 3 }
+test priced { expect id in lines.k  expect rn >= 1 }
+"""
+
+
+def _shop(spark: SparkSession, sf_dir: str) -> tuple[Project, Callable[[str], DataFrame]]:
+    project = Project.from_text(SOURCES + _SHOP)
+    sources, ready = Sources.folder(spark, sf_dir, list(project.sources)), {}
+    project.check()
+    return project, lambda name: sources.get(project.sources[name]) if name in project.sources else project.frame(name, sources, ready)
+
+
+def column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lineage(spark, _shop(spark, sf_dir)[0]).filter("model <> 'lines'")
+
+
+def radius_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.radius(spark, _shop(spark, sf_dir)[0], [("lineitem", "l_discount"), ("nation", "n_name")])
+
+
+def semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = _SHOP.replace("n = count() } )", "orders = count(), most = max(price) } )").replace("total: money", "total: money nonnull").replace('day = day, price', 'day = upper("x"), price').replace("test daily { expect n > 0 ", "test daily {")
+    return tables.differences(spark, Project.from_text(SOURCES + _SHOP), Project.from_text(SOURCES + changed.replace("group {day}", "group {id}").replace("id = orders.o_orderkey", "id = orders.o_orderkey, extra = 1")))
+
+
+def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = SOURCES + _SHOP.replace("model people {", "model people -> contract Secret {") + "contract Secret { n: string classification: pii }\nmodel twin { from orders }\nmodel twin2 { from orders }"
+    return tables.findings(spark, Project.from_text(text))
+
+
+def declarative_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    project, frame = _shop(spark, sf_dir)
+    return tables.expectations(spark, project.tests, frame)
+
+
+def join_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    project, frame = _shop(spark, sf_dir)
+    return tables.broken_joins([(n, j) for n, c in project.compiled.items() for j in c.joins], frame)
+
+
+#: A definition that isn't accepted, and the code that says why.
+REJECTED = [
+    ("contract C { o_orderkey: int64  zzz: string } model m -> contract C { from orders }", "E010"),
+    ("contract C { o_orderkey: string } model m -> contract C { from orders }", "E011"),
+    ("contract C { o_totalprice: float64 nonnull } model m -> contract C { from orders }", "E012"),
+    ("contract C { o_orderkey: int64 enum {a} } model m -> contract C { from orders }", "E013"),
+    ("model m -> contract Nowhere { from orders }", "E061"),
+    ("model m { from nowhere }", "E020"),
+    ("source s(x: y) { } model m { from s }", "E021"),
+    ("model m { from orders filter zzz == 1 }", "E040"),
+    ("model m { from orders filter zzz.o_orderkey == 1 }", "E041"),
+    ('model m { from orders filter o_orderkey == "x" }', "E051"),
+    ('model m { from orders filter o_orderkey and true }', "E052"),
+    ('model m { from orders select { v = o_orderkey + "x" } }', "E053"),
+    ("model m { from orders select { v = sum(o_orderkey) } }", "E056"),
+    ("model m { from orders group {o_custkey} ( aggregate { v = sum(o_orderkey) + 1 } ) }", "E050"),
+    ("model m { from orders select { v = zzz(1) } }", "E059"),
+    ("model m { from orders select { v = upper(o_orderstatus, 1) } }", "E062"),
+    ("model m { from orders select { v = upper(o_orderkey) } }", "E063"),
+    ("model m { from orders group {} ( aggregate { v = count(*) } ) select { w = max(*) } }", "E064"),
+    ("model m { from orders filter row_number() over () == 1 }", "E065"),
+    ("model m { from orders select { v = date_add(o_orderdate, hours: 1) } }", "E071"),
+    ('model m { from events select { v = json_get(props, "a.b") } }', "E074"),
+    ("model m { from orders expand o_orderkey }", "E075"),
+    ("model m { from orders union customer }", "E076"),
+    ("model a { from customer } model m { from orders union a }", "E077"),
+    ("domain a = b domain b = a model m { from orders }", "E078"),
+    ("model m { from orders join_left lineitem on orders.o_orderkey > lineitem.l_orderkey expect many_to_one }", "E079"),
+    ("model m { incremental merge_strategy: twist cdc_column: o_orderdate from orders }", "E086"),
+    ("model m { incremental merge_strategy: append from orders }", "E088"),
+    ("model m { incremental merge_strategy: upsert cdc_column: o_orderdate from orders }", "E089"),
+    ("model m { from orders } test other { expect row_count > 1 }", "E091"),
+    ("model m { from orders } test m { expect zzz > 1 }", "E092"),
+    ('model m { from orders } test m { expect o_orderkey > "x" }', "E094"),
+    ("model m { from orders group {} ( aggregate { v = sum(distinct o_orderkey) } ) }", "E096"),
+    ("model m { from orders } test m { expect o_orderkey in zzz.k }", "E101"),
+    ("model m { from orders } test m { expect o_orderkey in m.zzz }", "E102"),
+    ("model a { from b } model b { from a }", "F001"),
+]
+
+
+def rejected_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code that each definition of ``REJECTED`` is rejected with."""
+    rows = []
+    for text, _ in REJECTED:
+        try:
+            Project.from_text(SOURCES + text).check()
+            rows.append((text, "accepted"))
+        except ModelError as e:
+            rows.append((text, e.code))
+    return spark.createDataFrame(rows, "definition string, code string")
+
+
+def canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the printed text of each query's models reads as the same module,
+    and its fingerprint is the one of the first reading."""
+    rows = []
+    for name, (text, _) in MODELS.items():
+        first = Project.from_text(SOURCES + text)
+        again = Project.from_text(print_module(read_module(SOURCES + text)))
+        rows.append((name, {n: c.fingerprint for n, c in first.check().items()} == {n: c.fingerprint for n, c in again.check().items()}))
+    return spark.createDataFrame(rows, "name string, same boolean")
+
+
+def run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(step, value): what runs, a rollback, a replay and a clean-up do."""
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/lifecycle-{uuid.uuid4().hex[:12]}"
+    text = SOURCES + """
+contract Known { n_nationkey: int64 nonnull unique  name: string nonnull }
+model names -> contract Known { partition_by [n_nationkey] from nation select { n_nationkey = n_nationkey, name = upper(n_name) } }
+model counts { freshness 1h from names group {} ( aggregate { n = count() } ) }
+model kept { incremental merge_strategy: upsert merge_keys: [r_regionkey] cdc_column: r_regionkey from region select { r_regionkey = r_regionkey, name = r_name } }
+test names { expect row_count == 25 }
+"""
+    project = Project.from_text(text)
+    store, sources = Store(spark, root), Sources.folder(spark, sf_dir, list(project.sources))
+    noon = dt.datetime(2026, 1, 1, 12)
+    rows: list[tuple[str, str]] = []
+    try:
+        first = Runner(project, store, sources, noon).run()
+        rows.append(("models", ",".join(first.models)))
+        same = Runner(project, store, sources, noon).run(["names", "counts"])
+        again = Runner(project, store, sources, noon).run(["names", "counts"])
+        rows += [("the same work has one name", str(same.run == again.run)), ("and isn't published twice", str(again.reused))]
+        rows.append(("nothing is stale", ",".join(Runner(project, store, sources, noon).run(only_stale=True).models)))
+        rows.append(("too old after two hours", ",".join(Runner(project, store, sources, noon + dt.timedelta(hours=2)).run(only_stale=True).models)))
+        fewer = sources.get(project.sources["nation"]).filter("n_nationkey < 24")
+        try:
+            Runner(project, store, sources, noon).run(overrides={"nation": fewer})
+            rows.append(("a failing test", "published"))
+        except ModelError as e:
+            rows.append(("a failing test", e.code))
+        rows.append(("rows after it", str(Runner(project, store, sources).snapshot("names").count())))
+        extra = spark.createDataFrame([(4, "changed"), (5, "added")], "r_regionkey int, r_name string")
+        second = Runner(project, store, sources, noon).run(["kept"], overrides={"region": extra})
+        rows.append(("after an upsert", ",".join(f"{r.r_regionkey}={r.name}" for r in Runner(project, store, sources).snapshot("kept").orderBy("r_regionkey").collect())))
+        rows.append(("replay", ",".join(Runner(project, store, sources).replay(second.run).models)))
+        Runner(project, store, sources).rollback(first.run, ["kept"])
+        rows.append(("rows after a rollback", str(Runner(project, store, sources).snapshot("kept").count())))
+        backfilled = Runner(project, store, sources, noon).backfill(second.run, {"region": extra.filter("r_regionkey = 5")}, "late rows")
+        rows.append(("backfill", ",".join(backfilled.models)))
+        gone = Runner(project, store, sources, noon).gc(keep=0, apply=True)
+        rows += [("some runs are cleaned up", str(bool(gone))), ("what is current stays", str(Runner(project, store, sources).snapshot("names").count()))]
+        rows.append(("staged tests", ",".join(Runner(project, store, sources).stage(["names"]))))
+    finally:
+        store.delete()
+    return spark.createDataFrame(rows, "step string, value string")
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    """SQL of fixed rows."""
+    text = lambda v: str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({', '.join(names)})"
+
+
 #: Queries that aren't a model, with their SQL.
 OTHERS: dict[str, tuple[Query, str]] = {
     "incremental_append": (_incremental("append"), _LATER_SQL + "SELECT * FROM before UNION ALL SELECT * FROM delta"),
@@ -430,6 +602,41 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "contract_violations": (contract_violations, """
 SELECT count(*) FILTER (o_orderkey IS NULL) AS key_null, count(*) - count(DISTINCT o_orderkey) AS key_twice, count(*) FILTER (o_custkey IS NULL) AS cust_null, count(*) - count(DISTINCT o_custkey) AS cust_twice,
   count(*) FILTER (o_orderstatus IS NULL) AS status_null, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS status_other FROM orders"""),
+    "column_lineage": (column_lineage, _values([
+        ("priced", "id", "orders", "o_orderkey", "passthrough"), ("priced", "day", "orders", "o_orderdate", "derived"), ("priced", "price", "lines", "price", "joined"),
+        ("priced", "rn", "orders", "o_custkey", "windowed"), ("priced", "rn", "orders", "o_orderkey", "windowed"), ("daily", "day", "priced", "day", "grouped"),
+        ("daily", "total", "priced", "price", "aggregated"), ("people", "c", "customer", "c_custkey", "passthrough"), ("people", "n", "nation", "n_name", "joined"),
+    ], "model", "\"column\"", "from_node", "from_column", "kind")),
+    "radius_of_change": (radius_of_change, _values([("daily", "total"), ("lineitem", "l_discount"), ("lines", "price"), ("nation", "n_name"), ("people", "n"), ("priced", "price")], "node", "\"column\"")),
+    "semantic_diff": (semantic_diff, _values([
+        ("daily", "day", "removed", True), ("daily", "id", "added", False), ("daily", "most", "added", False), ("daily", "n", "removed", True), ("daily", "orders", "added", False),
+        ("priced", "day", "retyped", True), ("priced", "extra", "added", False), ("contract Daily", "total", "widened", False),
+    ], "model", "\"column\"", "kind", "breaking")),
+    "lint_findings": (lint_findings, _values([
+        *[("W001", m, "no contract") for m in ("daily", "lines", "priced", "twin", "twin2")], *[("W002", m, "no owner") for m in ("people", "priced", "twin", "twin2")],
+        ("W003", "twin", "passes all columns on"), ("W003", "twin2", "passes all columns on"), ("W004", "people.n", "classified pii but not protected"),
+        *[("W005", m, "read by no model or pipeline") for m in ("daily", "people", "twin", "twin2")], ("W006", "twin2", "the same as twin"),
+    ], "code", "place", "what")),
+    "declarative_tests": (declarative_tests, """
+WITH line AS (SELECT l_orderkey AS k, l_extendedprice * (1 - l_discount) AS price FROM lineitem WHERE l_quantity > 1),
+priced AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders LEFT JOIN line ON o_orderkey = k),
+daily AS (SELECT day, sum(price) AS total, count(*) AS n FROM priced GROUP BY day)
+SELECT 'daily' AS model, 'n > 0' AS expects, count(*) FILTER (NOT n > 0) = 0 AS holds FROM daily
+UNION ALL SELECT 'daily', 'total > 1.0', count(*) FILTER (NOT total > 1) = 0 FROM daily
+UNION ALL SELECT 'daily', 'row_count >= 10', count(*) >= 10 FROM daily
+UNION ALL SELECT 'daily', 'row_count < 3', count(*) < 3 FROM daily
+UNION ALL SELECT 'priced', 'id in lines.k', count(*) = 0 FROM priced WHERE NOT EXISTS (SELECT 1 FROM line WHERE k = id)
+UNION ALL SELECT 'priced', 'rn >= 1', count(*) FILTER (NOT rn >= 1) = 0 FROM priced"""),
+    "join_promises": (join_promises, """
+SELECT 'priced' AS model, 'lines' AS joins, 'many_to_one' AS expects, count(*) AS keys_twice FROM (SELECT l_orderkey FROM lineitem WHERE l_quantity > 1 GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'people', 'nation', 'many_to_one', count(*) FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1)"""),
+    "rejected_definitions": (rejected_definitions, _values(REJECTED, "definition", "code")),
+    "canonical_text": (canonical_text, _values([(name, True) for name in MODELS], "name", "same")),
+    "run_lifecycle": (run_lifecycle, _values([
+        ("models", "names,counts,kept"), ("the same work has one name", "True"), ("and isn't published twice", "True"), ("nothing is stale", ""), ("too old after two hours", "counts"),
+        ("a failing test", "E081"), ("rows after it", "25"), ("after an upsert", "0=AFRICA,1=AMERICA,2=ASIA,3=EUROPE,4=MIDDLE EAST,5=added"), ("replay", "kept"), ("rows after a rollback", "5"),
+        ("backfill", "kept"), ("some runs are cleaned up", "True"), ("what is current stays", "25"), ("staged tests", "names: row_count == 25"),
+    ], "step", "value")),
 }
 
 
