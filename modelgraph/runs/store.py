@@ -152,7 +152,7 @@ class Store:
         for e in reversed(self.history()):
             if e["run"] == run:
                 return e
-        raise ModelError("E084", f"unknown run {run!r}")
+        raise ModelError("E080", f"unknown run {run!r}")
 
     # -- tables
     def write(self, df: DataFrame, *parts: str, partition_by: list[str] | None = None) -> DataFrame:
