@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -24,8 +25,12 @@ def _local_root() -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` as the
-    session has it, a local temporary one only where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_root()).rstrip("/")
+    session has it.  Where it is unset, a temporary folder serves in local mode
+    only, where all tasks run on this machine."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (known or _local_root()).rstrip("/")
 
 
 def _clean() -> None:
@@ -74,6 +79,23 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def tagged(base: DataFrame) -> DataFrame:
+    """Add ``_tag`` to rows (_doc, text, ...): a number that tells rows of one _doc
+    apart by their text, rising with its MD5; 0 where a _doc has one row.
+
+    The table is stored in between if some _doc has several rows."""
+    shared = base.groupBy("_doc").count().filter("count > 1").select("_doc")
+    if shared.isEmpty():
+        return base.withColumn("_tag", F.lit(0).cast("long"))
+    base = base.withColumn("_digest", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    texts = base.select("_doc", "_digest").join(shared, "_doc", "left_semi").distinct()
+    # numbers rise over the sorted partitions
+    numbered = stored(texts.sort("_doc", "_digest").withColumn("_tag", F.monotonically_increasing_id() + 1), "tags")
+    # always by shuffle: the numbers may grow with the documents
+    whole = base.join(numbered.hint("merge"), ["_doc", "_digest"], "left").withColumn("_tag", F.coalesce("_tag", F.lit(0)))
+    return stored(whole.drop("_digest"), "tagged")
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], values: dict[str, str], name: str) -> DataFrame:
     """Add, for each ``{new: column}``, the exclusive running sum of ``column``
     in ``order`` over the whole table.

@@ -1,22 +1,29 @@
-"""Removal of repeated lines and sentences by hashing.
-
-Units are the lines of a text and, within a line, its sentences (up to and with
-a run of ``.!?``), so that a passage set into the middle of other lines is found
-by the sentences it holds.  Units of at least ``MIN_WORDS`` words are normalised
-(A-Z lower-cased, white space collapsed, ``.!?`` at the end dropped) and hashed
-to 128 bits.  Digests meet globally, the occurrence with the smallest (doc_id,
-offset) stays, and all others are removed; their offsets refer to the text as it
-came.  A task combines its own occurrences before they are sent, so a line that
-very many documents hold is sent once a task.
-
-Defined cases: a null or empty text has no unit; units of fewer words always
-stay; a null doc_id ranks last; rows that repeat a doc_id and text are the same
-document and keep the same units; texts of any length are processed whole.
+"""Removal of repeated lines and paragraphs by hashing.
+
+A text is tiled into units: its lines, and within a line its sentences (up to and
+with a run of ``.!?``), so that a passage set into the middle of other lines is
+found by the sentences it holds.  Every unit with a word is normalised (A-Z
+lower-cased, white space collapsed, ``.!?`` at the end dropped) and hashed to 128
+bits.  Digests meet globally; the occurrence with the smallest (doc_id, offset) is
+the first, all others are repeated.  What is removed are paragraphs: stretches of
+repeated units, one after another, of at least ``MIN_WORDS`` words together, about
+as much as a string of 100 bytes.  A short line goes with the block that it stands
+in and stays where it stands alone.  Offsets refer to the text as it came.  A task
+combines its own occurrences before they are sent, so a line that very many
+documents hold is sent once a task.
+
+Defined cases: a null or empty text has no unit; a null doc_id ranks last; rows
+that repeat a doc_id and text are the same document and keep the same units; rows
+that share or lack a doc_id and have other texts are documents of their own, in the
+order of the text's MD5; of equal units in a document the first counts as
+first; an empty table gives an empty result; texts of any length are processed
+whole; extra columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -26,9 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, stored, table, utf8
+from .common import chunks, stored, table, tagged, utf8
 
-MIN_WORDS = 5
+#: Words of a stretch of repeated units that is removed, at least.
+MIN_WORDS = 16
 #: Units that a task gathers before it sends them on.
 GATHER = 400_000
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
@@ -41,59 +49,61 @@ def normal(text: str) -> tuple[bytes, int]:
     return b" ".join(words).rstrip(b".!? "), len(words)
 
 
-def tiles(text: str | None) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]]:
-    """(start, end, sentences) of each line; offsets in code points."""
+def units(text: str | None) -> Iterator[tuple[int, int, bytes, int]]:
+    """(start, end, normalised unit, words) of each unit with a word; offsets in
+    code points."""
     at = 0
     for line in (text or "").split("\n"):
-        yield at, at + len(line), [(at + m.start(), at + m.end(), m[0]) for m in _SENTENCE.finditer(line)]
+        for m in _SENTENCE.finditer(line):
+            key, n = normal(m[0])
+            if n:
+                yield at + m.start(), at + m.end(), key, n
         at += len(line) + 1
 
 
-def units(text: str | None) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit that can be removed: lines, then
-    sentences that aren't a line."""
-    import xxhash
-
-    for start, end, sentences in tiles(text):
-        line, n = normal((text or "")[start:end])
-        if n < MIN_WORDS:
-            continue
-        yield start, end, xxhash.xxh3_128_digest(b"L" + line)
-        if len(sentences) > 1:
-            for s, e, part in sentences:
-                key, n = normal(part)
-                if n >= MIN_WORDS:
-                    yield s, e, xxhash.xxh3_128_digest(b"S" + key)
-        else:
-            yield start, end, xxhash.xxh3_128_digest(b"S" + line)
+def stretches(text: str | None, repeated: set[int], least: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, int]]]:
+    """Number of units, and (start, end, units) of the stretches of units that
+    start at one of ``repeated`` and hold ``least`` words together."""
+    total, out, run = 0, [], [0, 0, 0, 0]  # start, end, units, words
+    for start, end, _, n in itertools.chain(units(text) if repeated else (), [(-1, -1, b"", 0)]):
+        total += 1
+        if start in repeated:
+            run = [run[0] if run[2] else start, end, run[2] + 1, run[3] + n]
+        elif run[2]:
+            if run[3] >= least:
+                out.append((run[0], run[1], run[2]))
+            run = [0, 0, 0, 0]
+    return (total - 1 if repeated else sum(1 for _ in units(text))), out
 
 
-_ROWS = "kind long, hi long, lo long, doc long, tag long, start long, end long"
+_ROWS = "kind long, hi long, lo long, doc long, tag long, start long"
 
 
-def _combined(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def _combined(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     """The first occurrence of each digest (kind 0), and the others, which are
     repeated for certain (kind 1)."""
     if not rows:
         return
-    doc, tag, start, end = (np.array(c, dtype=np.int64) for c in list(zip(*rows, strict=True))[:4])
-    key = np.frombuffer(b"".join(r[4] for r in rows), dtype="<i8").reshape(-1, 2)
+    doc, tag, start = (np.array(c, dtype=np.int64) for c in list(zip(*rows, strict=True))[:3])
+    key = np.frombuffer(b"".join(r[3] for r in rows), dtype="<i8").reshape(-1, 2)
     order = np.lexsort((start, tag, doc, key[:, 1], key[:, 0]))
-    key, doc, tag, start, end = key[order], doc[order], tag[order], start[order], end[order]
+    key, doc, tag, start = key[order], doc[order], tag[order], start[order]
     first = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
     origin = np.flatnonzero(first)[np.cumsum(first) - 1]
-    same = (doc == doc[origin]) & (start == start[origin])  # a repeated row, or the unit itself
+    same = (doc == doc[origin]) & (tag == tag[origin]) & (start == start[origin])  # a repeated row, or the unit itself
     for kind, mask in ((0, first), (1, ~same)):
         if mask.any():
-            columns = [np.full(int(mask.sum()), kind), key[mask, 0].copy(), key[mask, 1].copy(), doc[mask], tag[mask], start[mask], end[mask]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "hi", "lo", "doc", "tag", "start", "end"])
+            columns = [np.full(int(mask.sum()), kind), key[mask, 0].copy(), key[mask, 1].copy(), doc[mask], tag[mask], start[mask]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "hi", "lo", "doc", "tag", "start"])
 
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[int, int, int, int, bytes]] = []
+    import xxhash
+
+    rows: list[tuple[int, int, int, bytes]] = []
     for batch in chunks(batches, "text", 8_000_000):
         for doc, tag, text in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_doc", "_tag", "text")], strict=True):
-            rows.extend((doc, tag, s, e, d) for s, e, d in units(text))
+            rows.extend((doc, tag, s, xxhash.xxh3_128_digest(key)) for s, _, key, _ in units(text))
             if len(rows) > GATHER:
                 yield from _combined(rows)
                 rows = []
@@ -110,20 +120,14 @@ def _applied(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa
             texts, spans = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("_spans"))
             for value, found in zip(texts, spans, strict=True):
                 text = value.as_py()
-                gone: list[list[int]] = []
-                hit = {(x["start"], x["end"]) for x in found.as_py() or []}
-                for s, e in sorted(hit):
-                    if gone and s <= gone[-1][1]:
-                        gone[-1][1] = max(gone[-1][1], e)
-                    else:
-                        gone.append([s, e])
+                n, gone = stretches(text, set(found.as_py() or ()))
                 kept, at = [], 0
-                for s, e in gone:
+                for s, e, _ in gone:
                     kept.append((text or "")[at:s])
                     at = e
                 rest = "".join([*kept, (text or "")[at:]])
-                n = len({(s, e) for s, e, _ in units(text)})
-                rows.append((len(text or ""), n, len(hit), len(text or "") - len(rest), hashlib.sha256(utf8(rest)).hexdigest(), rest if gone else text, [{"start": s, "end": e} for s, e in gone]))
+                cut = [{"start": s, "end": e} for s, e, _ in gone]
+                rows.append((len(text or ""), n, sum(k for *_, k in gone), len(text or "") - len(rest), hashlib.sha256(utf8(rest)).hexdigest(), rest if gone else text, cut))
             c = list(zip(*rows, strict=True))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             new = [*[pa.array(x, pa.int64()) for x in c[:4]], pa.array(c[4], pa.string()), pa.array(c[5], pa.string()), pa.array(c[6], span)]
@@ -135,13 +139,12 @@ def deduplicated(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Columns ``carry`` of each document with n_chars, n_units, n_removed,
     removed_chars, kept_sha256, kept_text and the removed spans."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"), "text", *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
-    twice = not base.groupBy("_doc").count().filter("count > 1").isEmpty()
-    base = base.withColumn("_tag", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if twice else F.lit(0).cast("long"))
+    base = tagged(base)
     found = stored(base.select("_doc", "_tag", "text").mapInArrow(_hashed, _ROWS), "units")
-    rank = Window.partitionBy("hi", "lo").orderBy("doc", "start", "tag")
-    later = found.filter("kind = 0").withColumns({"_d": F.first("doc").over(rank), "_s": F.first("start").over(rank)}).filter("doc <> _d OR start <> _s")
-    gone = later.select("doc", "tag", "start", "end").union(found.filter("kind = 1").select("doc", "tag", "start", "end"))
-    spans = gone.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    place = F.struct("doc", "tag", "start")
+    later = found.filter("kind = 0").withColumn("_first", F.min(place).over(Window.partitionBy("hi", "lo"))).filter(place != F.col("_first"))
+    gone = later.select("doc", "tag", "start").union(found.filter("kind = 1").select("doc", "tag", "start"))
+    spans = gone.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("start").alias("_spans"))
     joined = base.join(spans, ["_doc", "_tag"], "left").select("text", "_spans", *[f"_c{k}" for k in range(len(carry))])
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = [T.LongType()] * 4 + [T.StringType()] * 2 + [span]
@@ -166,28 +169,20 @@ WITH l AS (
   SELECT doc_id, k, s AS line_start, unnest(range(len(ps))) AS j, unnest(ps) AS x
   FROM (SELECT *, regexp_extract_all(x, '[^.!?]*[.!?]+|[^.!?]+') AS ps FROM spot)
 ), unit AS (
-  SELECT doc_id, 'L' AS kind, s, s + length(x) AS e, x FROM spot
-  UNION ALL
-  SELECT doc_id, 'S', line_start + coalesce(sum(length(x)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), NULL, x FROM part
+  SELECT doc_id, line_start + coalesce(sum(length(x)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, x FROM part
 ), norm AS (
-  SELECT doc_id, kind, s, s + length(x) AS e,
+  SELECT doc_id, s, s + length(x) AS e,
     rtrim(array_to_string(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' '), '.!? ') AS key,
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
   FROM unit
-), big AS (
-  SELECT * FROM norm WHERE n >= 5
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY doc_id, s) AS r FROM big
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS r, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS place FROM norm WHERE n >= 1
 ), n AS (
-  SELECT doc_id, count(*) AS n_units FROM (SELECT DISTINCT doc_id, s, e FROM big) GROUP BY doc_id
-), gone AS (
-  SELECT DISTINCT doc_id, s, e FROM ranked WHERE r > 1
-), top AS (
-  SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gone
+  SELECT doc_id, count(*) AS n_units FROM ranked GROUP BY doc_id
 ), run AS (
-  SELECT *, sum(CASE WHEN before >= s THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS g FROM top
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS g FROM ranked WHERE r > 1
 ), span AS (
-  SELECT doc_id, min(s) AS s, max(e) AS e FROM run GROUP BY doc_id, g
+  SELECT doc_id, min(s) AS s, max(e) AS e, count(*) AS units FROM run GROUP BY doc_id, g HAVING sum(n) >= 16
 ), piece AS (
   SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM span
 ), cut AS (
@@ -195,7 +190,7 @@ WITH l AS (
     string_agg(CAST(s AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY s) AS removed_spans
   FROM piece JOIN l USING (doc_id) GROUP BY doc_id
 ), m AS (
-  SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id
+  SELECT doc_id, CAST(sum(units) AS BIGINT) AS n_removed FROM span GROUP BY doc_id
 )
 SELECT doc_id, length(t) AS n_chars, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
   CAST(coalesce(removed_chars, 0) AS BIGINT) AS removed_chars,
