@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +55,25 @@ def guarded(condition: str) -> str:
 def content_hash(df: DataFrame) -> str:
     """Hash of a table's schema and rows, whatever their order; repeated rows
     count.  One pass, and one row comes back."""
+    return named(df.schema, list(df.agg(*sums_of(df)).first()))
+
+
+def sums_of(df: DataFrame) -> list[Column]:
+    """Aggregates that tell a table's rows, whatever their order.  Those of two
+    tables together follow from those of each, see ``together``."""
     cells = [F.to_json(F.map_entries(col(f.name))) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema.fields]
-    h = F.xxhash64(*cells) if cells else F.lit(0)
-    wide = h.cast("decimal(38,0)")
-    row = df.agg(F.count(F.lit(1)), F.sum(wide), F.bit_xor(h), F.sum(F.pmod(h, F.lit(2147483647)) * F.pmod(F.shiftright(h, 31), F.lit(2147483647)).cast("decimal(38,0)"))).first()
-    shape = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    return hashlib.sha256(repr((shape, [str(x) for x in row])).encode()).hexdigest()[:16]
+    h = F.xxhash64(*cells) if cells else F.lit(0).cast("long")
+    wide = F.pmod(h, F.lit(2147483647)) * F.pmod(F.shiftright(h, 31), F.lit(2147483647)).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("parity"), F.sum(wide).alias("wide")]
+
+
+def together(a: list, b: list) -> list:
+    return [a[0] + b[0], (a[1] or 0) + (b[1] or 0), (a[2] or 0) ^ (b[2] or 0), (a[3] or 0) + (b[3] or 0)]
+
+
+def named(schema: T.StructType, sums: list) -> str:
+    shape = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    return hashlib.sha256(repr((shape, [str(x or 0) for x in sums])).encode()).hexdigest()[:16]
 
 
 @dataclass
@@ -87,7 +100,9 @@ class Runner:
         return names
 
     def hashes(self, names: list[str], sources: Sources) -> dict[str, str]:
-        return {n: content_hash(sources.get(self.project.sources[n])) for n in names}
+        """What tells whether a source has changed: the listing of its files where
+        it has files, else its rows."""
+        return {n: sources.identity(self.project.sources[n]) or content_hash(sources.get(self.project.sources[n])) for n in names}
 
     def stale(self, models: list[str], hashes: Mapping[str, str]) -> list[str]:
         """Models to compute again: new or changed ones, those whose sources
@@ -141,11 +156,21 @@ class Runner:
             return incremental.append(previous, full, up.watermark or "")
         return incremental.upsert(previous, full, up.watermark or "", [k.name for k in up.merge_on])  # type: ignore[attr-defined]
 
+    def _appendable(self, name: str, full: DataFrame, previous: DataFrame | None, run: str | None) -> list | None:
+        """The sums of the rows that an append leaves where they are, or nothing if
+        the rows have to be written anew."""
+        if previous is None or run is None or self.project.models[name].upkeep.merge is not ir.Merge.APPEND:
+            return None
+        same = [(f.name, f.dataType) for f in previous.schema.fields] == [(f.name, f.dataType) for f in full.schema.fields]
+        known = self.store.entry(run).get("sums", {}).get(name)
+        return [int(x) for x in known] if same and known else None
+
     def _compute(self, models: list[str], folder: str, inputs: dict[str, DataFrame], before: Mapping[str, str], above: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
         """Write the models' rows under ``folder``.  ``before``: the run whose
         snapshot each merged model starts from; ``above``: the run whose snapshot
         stands for a model that isn't among them, by default the current one."""
         made: dict[str, DataFrame] = {}
+        self.sums: dict[str, list] = {}
 
         def get(node: str) -> DataFrame:
             if node in inputs:
@@ -159,7 +184,13 @@ class Runner:
             previous = self.snapshot(name, before[name]) if name in before else None
             parts = [p.name for p in decl.upkeep.partitions if isinstance(p, ir.Ref) and p.name in c.schema]
             with self.metrics.timed("model", model=name):
-                made[name] = self.store.write(self._merged(name, c.lower(get), previous), folder, "models", name, partition_by=parts)
+                full = c.lower(get)
+                base = self._appendable(name, full, previous, before.get(name))
+                new = full if base is None else incremental.delta(previous, full, decl.upkeep.watermark or "")
+                rows = self._merged(name, full, previous) if base is None else new
+                made[name], self.sums[name] = self.store.write(rows, folder, "models", name, partition_by=parts, sums=sums_of(rows), behind=None if base is None else ("runs", before[name], "models", name))
+                if base is not None:
+                    self.sums[name] = together(base, self.sums[name])
             if decl.contract:
                 pin(made[name], self.project.contracts[decl.contract], name)
         return made
@@ -190,9 +221,9 @@ class Runner:
                 if not order:
                     return RunResult("", [])
             frames = {n: sources.get(self.project.sources[n]) for n in self.sources_of(order)}
-            return self._publish(order, frames, hashes, reason=reason)
+            return self._publish(order, frames, hashes, sources, reason)
 
-    def _publish(self, order: list[str], frames: dict[str, DataFrame], hashes: Mapping[str, str], reason: str = "", of: str = "") -> RunResult:
+    def _publish(self, order: list[str], frames: dict[str, DataFrame], hashes: Mapping[str, str], sources: Sources | None = None, reason: str = "", of: str = "") -> RunResult:
         live = self.store.live()
         merged = {m: live[m] for m in order if m in live and self.project.models[m].upkeep.merges and self.store.exists("runs", live[m], "models", m)}
         used = {n: hashes[n] for n in self.sources_of(order)}
@@ -202,12 +233,16 @@ class Runner:
         entry |= {"run": run, "at": self.now().isoformat(timespec="seconds")}
         folder = f"runs/.{run}-{uuid.uuid4().hex[:6]}"
         try:
-            inputs = {n: self.store.write(frames[n], folder, "inputs", n) for n in frames}
-            for n, df in inputs.items():
-                if content_hash(df) != hashes[n]:
+            inputs, entry["inputs"] = {}, {}
+            for n, df in frames.items():  # the rows are hashed as they are copied
+                inputs[n], sums = self.store.write(df, folder, "inputs", n, sums=sums_of(df))
+                entry["inputs"][n] = named(inputs[n].schema, sums)
+                listed = sources.identity(self.project.sources[n]) if sources else None
+                if (listed or entry["inputs"][n]) != hashes[n]:
                     raise PinError("E098", f"source {n!r} changed while it was copied")
             made = self._compute(order, folder, inputs, merged)
-            entry["content"] = {m: content_hash(df) for m, df in made.items()}
+            entry["content"] = {m: named(df.schema, self.sums[m]) for m, df in made.items()}
+            entry["sums"] = {m: [str(x or 0) for x in self.sums[m]] for m in made}
             tests = run_tests(self.project.tests, lambda m: made[m] if m in made else self.snapshot(m), set(order))
             reused = self.store.exists("runs", run)
             if reused:
@@ -258,7 +293,7 @@ class Runner:
 
     def _frozen(self, run: str) -> dict[str, DataFrame]:
         entry, out = self.store.entry(run), {}
-        for n, wanted in entry["sources"].items():
+        for n, wanted in entry.get("inputs", entry["sources"]).items():
             df = self.store.read("runs", run, "inputs", n)
             if content_hash(df) != wanted:
                 raise PinError("E098", f"the rows of {n!r} that run {run} read have changed")
@@ -276,7 +311,7 @@ class Runner:
         try:
             made = self._compute(entry["models"], folder, inputs, entry["merged"], entry["above"])
             for m, df in made.items():
-                if content_hash(df) != entry["content"][m]:
+                if named(df.schema, self.sums[m]) != entry["content"][m]:
                     raise PinError("E098", f"replay of run {run} gives other rows of {m!r}")
         finally:
             self.store.delete(folder)
@@ -296,7 +331,7 @@ class Runner:
                 raise ModelError("E020", f"run {run} didn't read {', '.join(unknown)}")
             other = self.sources.overridden(overrides)
             frames |= {n: other.get(self.project.sources[n]) for n in overrides}
-            return self._publish(entry["models"], frames, {n: content_hash(df) for n, df in frames.items()}, reason, of=run)
+            return self._publish(entry["models"], frames, {n: content_hash(df) for n, df in frames.items()}, reason=reason, of=run)
 
     # -- cleaning up
     def gc(self, keep: int = 5, keep_days: float | None = None, apply: bool = False) -> list[str]:
@@ -313,6 +348,8 @@ class Runner:
                 kept |= set(entries.get(run, {}).get("merged", {}).values())
             if keep_days is not None:
                 kept |= {r for r, e in entries.items() if self.now() - dt.datetime.fromisoformat(e["at"]) < dt.timedelta(days=keep_days)}
+            for run in [r for r in kept if r]:
+                kept |= self.store.behind(run)
             gone = [r for r in present if r not in kept]
             if apply:
                 for r in gone:

@@ -11,14 +11,16 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import json
 import threading
 import time
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ModelError
 
@@ -27,6 +29,8 @@ LAYOUT = 1
 _LOCKS: dict[str, threading.RLock] = {}
 #: Before the names of columns that only name folders.
 _FOLDER = "__folder_"
+#: The file that names the folders behind a table's own.
+_PARTS = "_behind.json"
 
 
 class Store:
@@ -155,19 +159,40 @@ class Store:
         raise ModelError("E080", f"unknown run {run!r}")
 
     # -- tables
-    def write(self, df: DataFrame, *parts: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write a table and read it back, with the schema it came with.
+    def write(self, df: DataFrame, *parts: str, partition_by: list[str] | None = None, sums: list[Column] | None = None, behind: tuple[str, ...] | None = None) -> tuple[DataFrame, list]:
+        """Write a table and read it back, with the schema it came with.  ``sums``
+        are aggregates that are computed as the rows pass.  ``behind`` names a table
+        whose rows belong to this one too; they stay where they are.
 
         Folders are named by copies of the partition columns, whose own values
         stay in the files: a folder's name can't tell '' from null."""
-        path = self.path(*parts)
+        path, seen = self.path(*parts), Observation()
         copies = {f"{_FOLDER}{c}": F.col(f"`{c}`").cast("string") for c in partition_by or ()}
-        writer = df.withColumns(copies).write.mode("overwrite")
+        writer = (df.observe(seen, *sums) if sums else df).withColumns(copies).write.mode("overwrite")
         (writer.partitionBy(*copies) if copies else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+        if behind:
+            self.put("/".join([*parts, _PARTS]), json.dumps(["/".join(behind), *self._behind(*behind)]))
+        found = seen.get if sums else {}
+        return self._frame(df.schema, *parts), list(found.values())
+
+    def _behind(self, *parts: str) -> list[str]:
+        """Folders, besides its own, that hold rows of a table."""
+        return json.loads(self.text("/".join([*parts, _PARTS])) or "[]")
+
+    def behind(self, run: str) -> set[str]:
+        """Runs that hold rows of a run's snapshots."""
+        return {p.split("/")[1] for m in self.names("runs", run, "models") for p in self._behind("runs", run, "models", m)}
+
+    def _frame(self, schema: T.StructType | None, *parts: str) -> DataFrame:
+        places = [self.path(*parts), *[self.path(p) for p in self._behind(*parts)]]
+        if schema is None:
+            first = self.spark.read.parquet(places[0]).schema
+            schema = T.StructType([f for f in first.fields if not f.name.startswith(_FOLDER)])
+        # one folder at a time: their partition folders have roots of their own
+        frames = [self.spark.read.schema(schema).parquet(p).select(*[f"`{f.name}`" for f in schema.fields]) for p in places]
+        return functools.reduce(DataFrame.unionByName, frames)
 
     def read(self, *parts: str) -> DataFrame:
         if not self.exists(*parts):
             raise ModelError("E085", f"{self.path(*parts)} is gone")
-        df = self.spark.read.parquet(self.path(*parts))
-        return df.drop(*[c for c in df.columns if c.startswith(_FOLDER)])
+        return self._frame(None, *parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,5 +75,23 @@ class Sources:
         value = self.tables[name]
         return read(self.spark, value) if isinstance(value, str) else value
 
+    def identity(self, source: ir.Source) -> str | None:
+        """A hash of the listing of a source's files (path, length, time of change)
+        and of its declared columns; nothing if it isn't read from files."""
+        value = self.tables.get(source.name)
+        if not isinstance(value, str) or "/" not in value or value.startswith("jdbc:"):
+            return None
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(value)
+        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return None
+        files, found = [], system.listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return hashlib.sha256(repr(([(c.name, str(c.type)) for c in source.columns], sorted(files))).encode()).hexdigest()[:16]
+
     def get(self, source: ir.Source) -> DataFrame:
         return conformed(self.raw(source.name), source)

@@ -105,6 +105,54 @@ def test_incremental(world, strategy, want):
     assert [r[:2] for r in world.rows("m")] == (want if strategy != "replace" else [(1, 99), (2, 77), (3, 30)])
 
 
+def test_an_append_writes_new_rows_only(world):
+    world.text = "source s { columns: { id: int64 nonnull, v: int64, ts: timestamp } } source other { columns: { id: int64 } } model m { partition_by [v] incremental merge_strategy: append cdc_column: ts from s }"
+    runs = [world.runner().run().run]
+    for extra in ((3, 30), (4, None)):
+        world.s.append(extra)
+        runs.append(world.runner().run().run)
+    r = world.runner()
+    assert sorted(x.id for x in r.snapshot("m").collect()) == [1, 2, 3, 4] and r.store.behind(runs[2]) == set(runs[:2])
+    own = world.spark.read.parquet(r.store.path("runs", runs[2], "models", "m"))
+    assert [x.id for x in own.collect()] == [4]
+    assert r.replay(runs[2]).models == ["m"] and r.gc(keep=0) == []
+    assert sorted(map(tuple, r.snapshot("m", runs[1]).select("id").collect())) == [(1,), (2,), (3,)]
+    from modelgraph.runs.lifecycle import content_hash
+
+    assert content_hash(r.snapshot("m")) == r.store.entry(runs[2])["content"]["m"]
+
+
+def test_partition_values_stay_as_they_are(world, spark):
+    world.text = "source s { columns: { id: int64 } } source other { columns: { id: int64 } } model m { partition_by [k] from s select { id = id, k = if(id == 1, \"\", if(id == 2, null, \"a/b=c\")) } }"
+    world.s = [(1, 0), (2, 0), (3, 0)]
+    world.runner().run()
+    assert sorted(map(tuple, world.runner().snapshot("m").collect())) == [(1, ""), (2, None), (3, "a/b=c")]
+
+
+def test_files_are_known_by_their_listing(spark, tmp_path):
+    path = f"{tmp_path}/d/s.parquet"
+    spark.createDataFrame([(1,)], "id long").write.parquet(path)
+    project = Project.from_text("source s { columns: { id: int64 } } model m { freshness \"max(id) >= 1\" from s }")
+    runner = lambda: Runner(project, Store(spark, f"{tmp_path}/store"), Sources(spark, {"s": path}))
+    first = runner().run()
+    assert runner().run().run == first.run and runner().run(only_stale=True).models == []
+    spark.createDataFrame([(0,)], "id long").write.mode("overwrite").parquet(path)
+    assert runner().run().run != first.run and runner().run(only_stale=True).models == ["m"]  # too old by its condition
+    with pytest.raises(ModelError, match="E095"):
+        Runner(Project.from_text("source s { columns: { id: int64 } } model m { freshness \"drop table x\" from s }"), Store(spark, f"{tmp_path}/store"), Sources(spark, {"s": path})).run(only_stale=True)
+
+
+def test_a_lock_is_renewed_and_only_its_holder_deletes_it(world):
+    store = world.runner().store
+    with store.locked(stale=0.6):
+        import time
+
+        time.sleep(1.0)
+        assert time.time() - store._fs.getFileStatus(store._path(store.path("_lock"))).getModificationTime() / 1000 < 0.6
+        store.put("_lock", "another's")
+    assert store.text("_lock") == "another's"
+
+
 def test_join_promise(world):
     world.text = TEXT + "model j { from s join_left other on s.id == other.id expect many_to_one select { id = id } }"
     world.other = [(1,), (None,), (None,)] if False else [(1,), (2,)]
