@@ -15,12 +15,18 @@ multikey quicksort on characters of eight bytes, run over all groups at once,
 orders them to a shallow depth, and a blind trie orders each group that still
 ties there.  Groups equal over the whole length are the repeats.
 
+A bucket that outgrows ``BUCKET_LIMIT``, for a gram stands in very many different
+places, isn't gathered: its segments stream on and are dealt anew by more of the
+bytes around the gram, which equal strings share as well.
+
 Defined cases: a null or empty text has no bytes; texts under ``LENGTH`` bytes
 keep all; a null doc_id counts as the largest; rows that repeat a doc_id and text
 are the same document, so they don't make each other's strings repeated; rows that
-repeat a doc_id with other texts are documents of their own, in the order of a
-64-bit hash of the text; texts of any length are cut into slices that overlap,
-which changes no result.
+share or lack a doc_id and have other texts are documents of their own, in the
+order of the text's MD5; texts of any length are cut into slices that overlap,
+which changes no result; of equal strings the one with the smallest (document,
+start) stays; an empty table gives an empty result; extra columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, shuffle_parts, table, utf8
+from .common import chunks, shuffle_parts, stored, table, tagged, utf8
 
 LENGTH = 100
 GRAM = 16
@@ -47,6 +53,10 @@ SHALLOW = 32
 SLICE = 2_000_000
 #: Bytes of segments that a bucket holds on average.
 BUCKET_BYTES = 22_000_000
+#: Bytes of segments that a task gathers of one bucket.
+BUCKET_LIMIT = 66_000_000
+#: Bytes beside the gram that segments are dealt by, when they are dealt anew.
+CONTEXTS = (8, 24, 40)
 #: Segments that a task remembers as repeated.
 HOT = 100_000
 
@@ -150,28 +160,51 @@ class BlindTrie:
 
 
 def multikey(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of the suffixes at ``at`` within their groups, to
-    ``depth`` bytes, on all groups at once.  Suffixes alone in a group are left
-    out.  Returns (their indices in order, the group each is in)."""
-    index = np.arange(len(at))
-    for d in range(-1, depth // 8):
-        if d >= 0:
-            char = words[at[index] + 8 * d].astype(np.uint64)
-            order = np.lexsort((char, group))
-            index, group, char = index[order], group[order], char[order]
-            new = np.r_[True, (group[1:] != group[:-1]) | (char[1:] != char[:-1])]
-        else:
-            order = np.argsort(group, kind="stable")
-            index, group = index[order], group[order]
-            new = np.r_[True, group[1:] != group[:-1]]
-        if not len(index):
-            return index, group
+    """Multikey quicksort of the suffixes at ``at`` within their groups, on all
+    groups at once: each group is split into what is less than, equal to and
+    greater than the character of its middle suffix, and the equal part goes on
+    with the next character, to ``depth`` bytes.
+
+    Returns the indices of suffixes that tie there, and the group each is in; those
+    that stand alone are done."""
+    index = np.argsort(group, kind="stable")
+    group = group[index]
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    deep = np.zeros(len(index), dtype=np.int64)
+    made = 0
+    while len(index):
+        new = np.r_[True, group[1:] != group[:-1]]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(index)])
         group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        index, group = index[several], group[several]
-        if not len(index):
-            return index, group
-    return index, group
+        tied = (deep >= depth) & (size > 1)[group]
+        if tied.any():
+            done.append((index[tied], group[tied] + made))
+            made += len(first)
+        go = (deep < depth) & (size > 1)[group]
+        if not go.all():
+            index, group, deep = index[go], group[go], deep[go]
+            continue
+        char = words[at[index] + deep].astype(np.uint64)
+        middle = char[first + size // 2][group]
+        side = (char >= middle).astype(np.int8) + (char > middle)
+        # a stable place for each suffix: its group's first, the smaller sides, its own before
+        place = np.empty(len(index), dtype=np.int64)
+        base = first.copy()
+        for k in range(3):
+            mine = side == k
+            count = np.cumsum(mine)
+            before = count - mine
+            place[mine] = (base[group] + before - before[first][group])[mine]
+            base += np.diff(np.r_[before[first], count[-1]])
+        order = np.empty(len(index), dtype=np.int64)
+        order[place] = np.arange(len(index))
+        index, side = index[order], side[order]
+        group = group * 3 + side  # groups stay where they were
+        deep = deep[order] + 8 * (side == 1)
+    if not done:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate([i for i, _ in done]), np.concatenate([g for _, g in done])
 
 
 def equal_groups(raw: bytes, at: np.ndarray, group: np.ndarray, length: int) -> Iterator[np.ndarray]:
@@ -364,8 +397,37 @@ def repeats(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.nda
     return tuple(np.concatenate([o[k] for o in out]) for k in range(4))  # type: ignore[return-value]
 
 
-def _sorted(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; those of bucket -1 are passed on."""
+def _finer(bucket: int, part: tuple, length: int, context: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The rows of a blob's segments, dealt by ``context`` bytes more: those behind
+    the gram, or before it where the string ends too soon."""
+    docs, tags, places, runs, offsets, body = part
+    sizes = runs.astype(np.int64) + length - 1
+    starts = np.cumsum(sizes) - sizes
+    # the first strings of a segment have the gram too near their end
+    cut = np.clip(offsets.astype(np.int64) - (length - GRAM - context), 0, runs)
+    words = _words(body + bytes(8))
+    n = np.r_[cut, runs - cut].astype(np.int64)
+    own = np.flatnonzero(n > 0)
+    behind, segment = own >= len(runs), own % len(runs)
+    shift = np.where(behind, cut[segment], 0)
+    gram = starts[segment] + offsets[segment]
+    key = _gram_hash(words, gram, gram + 8)
+    for d in range(0, context, 8):
+        key = _mix(key + words[np.where(behind, gram + GRAM + d, gram - context + d)] * _C2)
+    finer = ((key >> np.uint64(17)) % np.uint64(1024)).astype(np.int64) + bucket * 1024
+    order = np.argsort(finer, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, finer[order][1:] != finer[order][:-1]])
+    for f, t in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        o = order[f:t]
+        x, sh, m = segment[o], shift[o], n[own[o]]
+        a = (starts[x] + sh).tolist()
+        text = b"".join([body[i : i + k + length - 1] for i, k in zip(a, m.tolist(), strict=True)])
+        yield int(finer[o[0]]), 0, 0, _pack(docs[x], tags[x], places[x] + sh, m, offsets[x].astype(np.int64) - sh, text)
+
+
+def _sorted(batches: Iterable[pa.RecordBatch], length: int, level: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; those of bucket -1 are passed on.  Gives spans,
+    as rows of bucket -1, and the rows of a bucket that is dealt anew."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -377,12 +439,22 @@ def _sorted(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             for r in run:
                 yield _out([r])
             continue
-        parts = [_unpack(r[3]) for r in run]
+        parts, held = [], 0
+        for r in run:
+            parts.append(_unpack(r[3]))
+            held += len(parts[-1][5])
+            if level < len(CONTEXTS) and held > BUCKET_LIMIT:
+                for part in parts:
+                    for x in _finer(bucket, part, length, CONTEXTS[level]):
+                        yield _out([x])
+                parts.clear()
+        if not parts:
+            continue
         arrays = [np.concatenate([p[k] for p in parts]) for k in range(5)]
         body = b"".join(p[5] for p in parts)
         parts.clear()
         spans = repeats(*arrays, body, length)
-        found = [(bucket, d, t, x) for d, t, x in _span_rows(*spans)]
+        found = [(-1, d, t, x) for d, t, x in _span_rows(*spans)]
         for k in range(0, len(found), 5000):
             yield _out(found[k : k + 5000])
 
@@ -452,9 +524,7 @@ def deduplicated(docs: DataFrame, carry: list[str], length: int = LENGTH) -> Dat
     kept_sha256, kept_text and the removed spans (byte offsets in the input)."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), "text", *[F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)])
-    twice = not base.groupBy("_doc").count().filter("count > 1").isEmpty()
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if twice else F.lit(0).cast("long")
-    base = base.withColumn("_tag", tag)
+    base = tagged(base)
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size * 3.5) // BUCKET_BYTES))
     dealt = base.select("_doc", "_tag", "text").mapInArrow(lambda it: _dealt(it, length, buckets), _ROWS)
@@ -462,7 +532,15 @@ def deduplicated(docs: DataFrame, carry: list[str], length: int = LENGTH) -> Dat
     n = max(buckets, shuffle_parts(spark))
     place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
     dealt = dealt.repartitionById(n, place).sortWithinPartitions("bucket")
-    spans = dealt.mapInArrow(lambda it: _sorted(it, length), _ROWS)
+    found = stored(dealt.mapInArrow(lambda it: _sorted(it, length), _ROWS), "spans")
+    spans = found.filter("bucket < 0")
+    for level in range(1, len(CONTEXTS) + 1):
+        anew = found.filter("bucket >= 0")
+        if anew.isEmpty():
+            break
+        anew = anew.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
+        found = stored(anew.mapInArrow(lambda it, k=level: _sorted(it, length, k), _ROWS), f"spans{level}")
+        spans = spans.union(found.filter("bucket < 0"))
     spans = spans.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list("data").alias("_spans"))
     squeezed = base.select("text", *[c for c in base.columns if c != "text"])
     fields = [T.StructField("_text", T.BinaryType()), *squeezed.schema.fields[1:]]
