@@ -11,9 +11,11 @@ index.  The last slot of a source is cut so that the words taken equal its
 target, to the word.
 
 Defined cases: a null or empty text has no words and is never taken; null is a
-source of its own and comes last; repeated rows are documents of their own;
-without any words every target is 0; extra columns may have any names, they
-don't enter the plan.
+source of its own and comes last; repeated rows are documents of their own, and
+documents of one source, doc_id and size come in any order, with equal results;
+without any words every target is 0, and an empty table gives an empty result; a
+text of any length is cut into blocks like any other; extra columns may have any
+names, they don't enter the plan.
 """
 
 from __future__ import annotations

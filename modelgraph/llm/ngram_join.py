@@ -19,7 +19,9 @@ cap drops a candidate.
 Defined cases: a null or empty text has the empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole word sequence as
 its one shingle; repeated rows are copies; a row without doc_id is linked with
-nothing and has no component; very long texts are hashed whole.
+nothing and has no component; of equal sets the smallest doc_id stands for all;
+very long texts are hashed whole; an empty table gives an empty result; extra
+columns, of any names, don't enter the plan.
 """
 
 from __future__ import annotations
