@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,15 +47,32 @@ def pin(df: DataFrame, contract: ir.Contract, where: str) -> None:
 def violations(df: DataFrame, contract: ir.Contract) -> DataFrame:
     """One row with the number of rows that break each promise of a contract,
     by one pass over the data.  Columns are named ``<column>__<what>``."""
-    cells = []
+    keys = [c.name for c in contract.columns if c.promise.key]
+    cells, names = [], []
     for c in contract.columns:
         if not c.nullable or c.promise.key == "primary":
-            cells.append(F.sum(F.when(col(c.name).isNull(), 1).otherwise(0)).alias(f"{c.name}__is null"))
+            names.append(f"{c.name}__is null")
+            cells.append(F.count_if(col(c.name).isNull()).alias(names[-1]))
         if known := sorted(c.promise.values):
-            cells.append(F.sum(F.when(~col(c.name).isin(*known), 1).otherwise(0)).alias(f"{c.name}__isn't one of " + ", ".join(known)))
+            names.append(f"{c.name}__isn't one of " + ", ".join(known))
+            cells.append(F.count_if(~col(c.name).isin(*known)).alias(names[-1]))
         if c.promise.key:
-            cells.append((F.count(F.lit(1)) - F.count_distinct(col(c.name))).alias(f"{c.name}__isn't unique"))
-    return df.agg(*cells) if cells else df.select()
+            names.append(f"{c.name}__isn't unique")
+            if len(keys) == 1:
+                cells.append((F.count(F.lit(1)) - F.count_distinct(col(c.name))).alias(names[-1]))
+    if not names:
+        return df.select()
+    # distinct counts of several columns in one aggregate would send each row once for
+    # each of them; counted by themselves, only the keys' own groups are sent
+    twice = {f"{k}__isn't unique": _repeated(df, k) for k in keys} if len(keys) > 1 else {}
+    base = df.agg(*cells) if cells else df.sparkSession.range(1).select()
+    return base.select("*", *[c.alias(n) for n, c in twice.items()]).select(*[col(n) for n in names])
+
+
+def _repeated(df: DataFrame, key: str) -> Column:
+    """Rows less distinct values of a column."""
+    groups = df.groupBy(col(key)).agg(F.count(F.lit(1)).alias("__rows"))
+    return groups.agg(F.coalesce(F.sum("__rows"), F.lit(0)) - F.count(col(key))).scalar()
 
 
 def _twice(df: DataFrame, keys: list[str]) -> bool:
