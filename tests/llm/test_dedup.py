@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from modelgraph.llm import embedding_dedup, line_dedup, ngram_join, suffix_dedup
 from modelgraph.llm.common import components
@@ -44,6 +46,35 @@ def test_suffix_dedup_periodic_texts_and_slices(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_suffix_dedup_deals_large_buckets_anew(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_LIMIT", 3000)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1500)
+    rng = random.Random(6)
+    hot, long = "".join(rng.choice("abcdefgh") for _ in range(24)), "".join(rng.choice("abcdefgh") for _ in range(95))
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    docs = [(i, text(90) + rng.choice([hot, long, long[20:80]]) + text(rng.randint(0, 90)) + rng.choice([hot, long]) + text(60)) for i in range(120)]
+    docs += [(200 + i, docs[i][1][40:200] + "!" + docs[i + 1][1][:130]) for i in range(0, 60, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.deduplicated(df, ["doc_id"]).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(docs, 100)
+
+
+def test_multikey_quicksort_finds_the_ties():
+    rng = np.random.default_rng(5)
+    raw = bytes(rng.choice([97, 98], 4000).astype(np.uint8)) + b"ab" * 300
+    words = suffix_dedup._words(raw + bytes(8), ">u8")
+    at, group = rng.integers(0, len(raw) - 40, 3000), rng.integers(0, 5, 3000)
+    for depth in (8, 16, 32):
+        index, tie = suffix_dedup.multikey(words, at, group, depth)
+        got = {}
+        for i, g in zip(index.tolist(), tie.tolist(), strict=True):
+            got.setdefault(g, set()).add(i)
+        want = {}
+        for i in range(len(at)):
+            want.setdefault((group[i], raw[at[i] : at[i] + depth]), set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
 def test_suffix_dedup_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "q" * 50 + "r" * 80), (1, "q" * 50 + "r" * 80), (None, "q" * 50 + "r" * 80)], "doc_id long, text string")
     got = sorted(((r.doc_id is None, r.n_removed) for r in suffix_dedup.deduplicated(df, ["doc_id"]).collect()))
@@ -180,8 +211,9 @@ def brute_vectors(data, threshold):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates_equal_brute_force(spark, small, monkeypatch):
     if small:
-        monkeypatch.setattr(embedding_dedup, "CELL", 20)
-        monkeypatch.setattr(embedding_dedup, "BLOCK", 15)
+        monkeypatch.setattr(embedding_dedup, "CELL", 5)
+        monkeypatch.setattr(embedding_dedup, "SHIP", 1e-9)  # so pivots pay
+        monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 15 * 64)
     rng = np.random.default_rng(3)
     data = []
     for i in range(160):
@@ -196,16 +228,73 @@ def test_near_duplicates_equal_brute_force(spark, small, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_extreme_vectors_and_shared_ids(spark):
+    data = [(1, [1e-200, 1e-200], 0), (2, [1e200, 1e200], 0), (3, [-1e200, 1e200], 0), (3, [-1e200, 1e200], 0), (4, [0.0, 5e-324], 0), (5, [-0.0, 2.0], 0), (None, [1.0, 1.0], 0), (1, [1.0, 1.0], 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("cls", F.lit("x")).withColumn("cell", F.lit(1))
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect() if r.vec_id)
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 4, True), (5, 1, 4, False)]
+
+
+def test_pivots_are_chosen_by_cost():
+    rng = np.random.default_rng(0)
+    radius = (2 - 2 * 0.98) ** 0.5
+    scattered = embedding_dedup._unit(list(rng.normal(size=(600, 64))))
+    assert len(embedding_dedup.chosen(scattered, 5_000, radius)) == 1
+    crowds = embedding_dedup._unit(list(np.repeat(np.eye(64)[:40], 15, axis=0)[rng.permutation(600)] + rng.normal(size=(600, 64)) * 0.01))
+    assert len(embedding_dedup.chosen(crowds, 1_000_000, radius)) >= 16
+
+
 # -- lines
+def brute_lines(docs):
+    """Stretches by a plain reading of the definition; ``docs``: (doc_id, text)."""
+    first, out = {}, {}
+    for doc_id, text in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        at, parts = 0, []
+        for line in (text or "").split("\n"):
+            for m in re.finditer(r"[^.!?]*[.!?]+|[^.!?]+", line):
+                words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in m[0]))
+                if words:
+                    parts.append((at + m.start(), at + m.end(), " ".join(words).rstrip(".!? "), len(words)))
+            at += len(line) + 1
+        flags = [first.setdefault(key, (doc_id, s)) != (doc_id, s) for s, _, key, _ in parts]
+        gone, i = [], 0
+        while i < len(parts):
+            j = i
+            while j < len(parts) and flags[j]:
+                j += 1
+            if sum(n for *_, n in parts[i:j]) >= 16:
+                gone.append((parts[i][0], parts[j - 1][1]))
+            i = max(j, i + 1)
+        out[doc_id] = gone
+    return out
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(3)
+    lines = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "!", " Or. so"]) for _ in range(60)]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for i in range(80)] + [(90, None), (91, ""), (92, " \n . \n"), (None, "\n".join(lines[:9])), (93, "x. " * 30_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).withColumn("hi", F.lit("x")).withColumn("_spans", F.lit(1))
+    got = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in line_dedup.deduplicated(df, ["doc_id", "hi"]).collect()}
+    assert got == brute_lines(docs) and any(got.values())
+
+
 def test_lines_earliest_stays(spark):
-    line = "This line has quite enough words to count."
-    docs = [(2, f"{line}\nunique words in the second text here\n{line}"), (1, f"Start of it all.  THIS LINE has quite enough words to count! And more."), (3, None), (4, "of.\nof.\nof."), (5, f"{line}")]
+    line = "This line has quite enough words, sixteen of them at least, to count as a paragraph here."
+    block = "Short line.\nAnother short one.\nA third, somewhat longer line.\nAnd a fourth that ends the repeated block."
+    docs = [(2, f"{line}\nunique words in the second text here\n{line}"), (1, f"Start of it all.  {line.upper()}! And more.\n{block}"), (3, None), (4, "of.\nof.\nof."), (5, f"{line}"), (6, f"Start.\n{block}\nEnd."), (7, "Short line.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.deduplicated(df, ["doc_id"]).collect()}
-    assert got[1].n_removed == 0 and got[4].n_removed == 0 and got[3].n_chars == 0
+    assert got[1].n_removed == got[4].n_removed == got[7].n_removed == got[3].n_chars == 0
     assert got[2].kept_text == "\nunique words in the second text here\n"
-    assert [(s.start, s.end) for s in got[2].removed] == [(0, 42), (80, 122)]
-    assert got[5].kept_text == ""
+    assert [(s.start, s.end) for s in got[2].removed] == [(0, len(line)), (len(docs[0][1]) - len(line), len(docs[0][1]))]
+    assert got[5].kept_text == "" and got[6].kept_text == "Start.\n\nEnd." and got[6].n_removed == 4
     twice = line_dedup.deduplicated(df.union(df), ["doc_id"])
     assert sorted((r.doc_id, r.n_removed) for r in twice.collect()) == sorted((d, got[d].n_removed) for d in [*got, *got])
     assert line_dedup.deduplicated(empty(spark), ["doc_id"]).count() == 0
+
+
+def test_lines_of_rows_without_doc_id(spark):
+    head = " ".join(f"w{i}" for i in range(20)) + "."
+    df = spark.createDataFrame([(None, f"{head} One."), (None, f"{head} Two."), (None, "Three."), (7, "Four."), (7, f"{head}")], "doc_id long, text string")
+    got = {r.kept_text: r.n_removed for r in line_dedup.deduplicated(df, ["doc_id"]).collect()}
+    assert got == {" One.": 1, " Two.": 1, "Three.": 0, "Four.": 0, head: 0}

@@ -56,6 +56,15 @@ def test_op2_repeated_rows_null_id_and_empty(spark, tmp_path):
     assert token_files.op2_huffman_token_files(spark, saved(empty(spark), tmp_path / "e", "documents")).count() == 0
 
 
+def test_op2_ties_and_clashing_columns(spark, tmp_path):
+    docs = [(7, "same id"), (7, "other text"), (7, "same id"), (None, "no id"), (None, "none either"), (1, "word " * 30_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS ids", "1 AS _hash", "2 AS start")
+    got = token_files.op2_huffman_token_files(spark, saved(df, tmp_path, "documents")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 1, 7, 7, 7]
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(x), zlib.crc32(x.tobytes())) for x in (np.append(whole(t), np.uint32(2)).astype("<u4") for _, t in docs))
+    assert [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got[:-1]]]))
+
+
 def check_packing(got, capacity=packing.CAPACITY):
     by = {}
     for r in got:
@@ -104,6 +113,32 @@ def test_crossover_keeps_every_piece():
         assert (child >= 0).all() and np.bincount(child, weights=sizes).max() <= 100
 
 
+@pytest.mark.parametrize(("low", "high", "capacity"), [(20, 101, 150), (500, 900, 2048)])
+def test_evolution_needs_fewer_bins_than_best_fit(low, high, capacity):
+    sizes = np.sort(np.random.default_rng(1).integers(low, high, 900))[::-1].astype(np.int64)
+    plain = packing.best_fit(sizes, range(len(sizes)), np.full(len(sizes), -1), [], 0, capacity)
+    bins = packing.evolve(sizes, [], capacity, 1)
+    assert np.bincount(bins, weights=sizes).max() <= capacity and bins.max() + 1 < plain
+
+
+def test_evolution_crosses_where_the_bound_is_met(monkeypatch):
+    calls, cross = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or cross(*a))
+    sizes = np.sort(np.random.default_rng(2).integers(1, 60, 400))[::-1].astype(np.int64)
+    bins = packing.evolve(sizes, [], 100, 1)
+    assert len(calls) >= packing.SETTLED and bins.max() + 1 == -(-sizes.sum() // 100)
+
+
+def test_op8_rows_without_doc_id_and_ties(spark, tmp_path):
+    docs = [(None, "same words here"), (None, "same words here"), (3, "same words here"), (3, "other words there"), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' AS piece", "1 AS row_id", "2 AS length")
+    got = packing.op8_best_fit_packing(spark, saved(df, tmp_path, "documents")).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in got) == sorted((d or 0, 0, len(whole(t)) + 1) for d, t in docs)
+    assert check_packing(got) == 1
+    rows = packing.packed_documents(df).collect()
+    assert len({(r.row_id, r.piece) for r in rows}) == len(rows) == 5
+
+
 def test_sequences_hold_the_ids(spark):
     packed = packing.packed_documents(documents(spark, n=10), with_ids=True)
     out = packing.sequences(packed).collect()
