@@ -10,16 +10,22 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import tables
-from .errors import ModelError
+from .errors import ModelError, PinError
+from .importer import import_project
+from .metrics import Metrics
 from .operators import incremental
 from .plans import Project
-from .quality import violations
+from .quality import pin, violations
 from .runs import Runner, Store
 from .sources import Sources
 from .syntax import read_module
+from .syntax.grammar import gbnf
 from .syntax.printer import module as print_module
+from .syntax.recogniser import accepts
+from .tooling import demo
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -584,11 +590,75 @@ test names { expect row_count == 25 }
         gone = Runner(project, store, sources, noon).gc(keep=0, apply=True)
         rows += [("some runs are cleaned up", str(bool(gone))), ("what is current stays", str(Runner(project, store, sources).snapshot("names").count()))]
         rows.append(("staged tests", ",".join(Runner(project, store, sources).stage(["names"]))))
+        rows.append(("branches", ",".join(f"{b}:{'+'.join(ms)}" for b, ms in Runner(project, store, sources).branches().items())))
+        rows += [("entries to migrate", str(store.migrate())), ("history", str(len(store.history()) >= 4))]
+        cut = Runner(project, store, sources, noon)
+        recover, cut.recover = cut.recover, lambda: False
+        late = cut.run(["counts"], overrides={"nation": sources.get(project.sources["nation"]).withColumn("n_name", F.lit("x"))}, reason="cut off")
+        rows += [("current while cut off", str(store.live()["counts"] == late.run)), ("recovered", str(recover())), ("current then", str(store.live()["counts"] == late.run))]
     finally:
         store.delete()
     return spark.createDataFrame(rows, "step string, value string")
 
 
+def grammar_accepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exported grammar accepts the models of each query, as written
+    and as printed, by a recogniser that knows nothing of the reader."""
+    rows = [(name, accepts(gbnf(), text) and accepts(gbnf(), print_module(read_module(text)))) for name, (text, _) in MODELS.items()]
+    return spark.createDataFrame(rows, "name string, accepted boolean")
+
+
+def demo_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The starter project over the demo tables."""
+    return Project.from_text(demo.STARTER).frame("daily_orders", Sources(spark, demo.tables(spark)))
+
+
+_SCHEMA = {
+    "sources": [{"name": "shop", "tables": [{"name": "orders", "columns": [{"name": "o_orderkey", "data_type": "bigint", "tests": ["not_null"]}, {"name": "o_custkey", "data_type": "bigint"}, {"name": "o_orderstatus", "data_type": "varchar(1)"}]}]}],
+    "models": [{"name": "busy", "columns": [{"name": "o_custkey", "data_type": "bigint"}, {"name": "n", "data_type": "bigint", "tests": ["not_null"]}]}],
+}
+_SELECT = """
+with done as (select o.o_custkey, o.o_orderkey, case when o.o_orderstatus = 'F' then 1 else 0 end as finished from {{ source('shop', 'orders') }} o where o.o_orderkey between 1 and 40000)
+select o_custkey, count(distinct o_orderkey) as n from done where finished = 1 group by 1 having count(*) > 2
+"""
+
+
+def imported_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models read from a schema file and a SELECT statement of another tool."""
+    project = Project(import_project(_SCHEMA, {"busy": _SELECT}))
+    return project.frame("busy", Sources.folder(spark, sf_dir, list(project.sources)))
+
+
+def contract_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case, says) of rows that are held against a contract: its columns, their
+    types, nulls, values and keys."""
+    contract = Project.from_text("contract C { id: int64 nonnull primary_key  kind: string enum {a, b}  total: money }").contracts["C"]
+    good = spark.sql("SELECT 1L AS id, 'a' AS kind, CAST(1.5 AS DECIMAL(38,2)) AS total UNION ALL SELECT 2, NULL, NULL")
+    cases = {
+        "holds": good, "smaller integers hold": good.withColumn("id", F.col("id").cast("int")), "a column is missing": good.drop("kind"), "another type": good.withColumn("total", F.col("total").cast("decimal(38,3)")),
+        "a null": good.withColumn("id", F.when(F.col("id") > 1, F.col("id"))), "another value": good.withColumn("kind", F.lit("c")), "a key twice": good.withColumn("id", F.lit(1).cast("long")),
+    }
+    rows = []
+    for case, df in cases.items():
+        try:
+            pin(df, contract, "m")
+            rows.append((case, "holds"))
+        except PinError as e:
+            rows.append((case, e.message))
+    return spark.createDataFrame(rows, "case string, says string")
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines in which metrics are reported."""
+    m = Metrics("mg")
+    m.count("runs")
+    m.count("rows", 5, model="a")
+    m.count("rows", 2, model="a")
+    m.gauge("live", 3)
+    lines = [x for x in m.prometheus().splitlines() if not x.startswith("#")] + m.statsd()
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
 def _values(rows: list[tuple], *names: str) -> str:
     """SQL of fixed rows."""
     text = lambda v: str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -632,10 +702,21 @@ SELECT 'priced' AS model, 'lines' AS joins, 'many_to_one' AS expects, count(*) A
 UNION ALL SELECT 'people', 'nation', 'many_to_one', count(*) FROM (SELECT n_nationkey FROM nation GROUP BY 1 HAVING count(*) > 1)"""),
     "rejected_definitions": (rejected_definitions, _values(REJECTED, "definition", "code")),
     "canonical_text": (canonical_text, _values([(name, True) for name in MODELS], "name", "same")),
+    "grammar_accepts": (grammar_accepts, _values([(name, True) for name in MODELS], "name", "accepted")),
+    "demo_orders": (demo_orders, """
+SELECT country, CAST(day AS DATE) AS order_day, CAST(net AS DECIMAL(38,2)) AS net, CAST(orders AS BIGINT) AS orders
+FROM (VALUES ('ES', '2026-09-01', 200.00, 2), ('BR', '2026-09-02', 70.00, 1), ('MX', '2026-09-02', 200.00, 1)) t(country, day, net, orders)"""),
+    "imported_models": (imported_models, "SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders WHERE o_orderkey BETWEEN 1 AND 40000 AND o_orderstatus = 'F' GROUP BY 1 HAVING count(*) > 2"),
+    "contract_pins": (contract_pins, _values([
+        ("holds", "holds"), ("smaller integers hold", "holds"), ("a column is missing", "m: column 'kind' is missing"), ("another type", "m.total is decimal(38,3), the contract says money(USD)"),
+        ("a null", "m.id is null in 1 rows; m.id isn't unique in 1 rows"), ("another value", "m.kind isn't one of a, b in 2 rows"), ("a key twice", "m.id isn't unique in 1 rows"),
+    ], "\"case\"", "says")),
+    "run_metrics": (run_metrics, _values([(x,) for x in ('mg_rows_total{model="a"} 7', "mg_runs_total 1", "mg_live 3", "mg.rows:7|c|#model:a", "mg.runs:1|c", "mg.live:3|g")], "line")),
     "run_lifecycle": (run_lifecycle, _values([
         ("models", "names,counts,kept"), ("the same work has one name", "True"), ("and isn't published twice", "True"), ("nothing is stale", ""), ("too old after two hours", "counts"),
         ("a failing test", "E081"), ("rows after it", "25"), ("after an upsert", "0=AFRICA,1=AMERICA,2=ASIA,3=EUROPE,4=MIDDLE EAST,5=added"), ("replay", "kept"), ("rows after a rollback", "5"),
         ("backfill", "kept"), ("some runs are cleaned up", "True"), ("what is current stays", "25"), ("staged tests", "names: row_count == 25"),
+        ("branches", "test:names"), ("entries to migrate", "0"), ("history", "True"), ("current while cut off", "False"), ("recovered", "True"), ("current then", "True"),
     ], "step", "value")),
 }
 
