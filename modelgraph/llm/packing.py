@@ -9,8 +9,10 @@ Pieces that end in loosely filled bins are dealt anew, together with those of
 other cells, and packed again, so the loss doesn't add up over cells.
 
 Defined cases: a null or empty text is one piece, the end id alone; repeated
-rows are packed one by one; an empty table gives an empty result; a document
-of any length becomes as many pieces as it needs.
+rows, and rows without doc_id, are packed one by one; pieces of one length are
+taken in the order of their row; an empty table gives an empty result; a document
+of any length becomes as many pieces as it needs; extra columns don't enter the
+plan.
 """
 
 from __future__ import annotations
@@ -34,8 +36,15 @@ END_ID = 0
 #: Pieces in a cell, on average.
 CELL = 3000
 ISLANDS = 2
-POPULATION = 3
-GENERATIONS = 4
+POPULATION = 4
+#: Generations of an epoch at most, and without a better packing before it ends.
+GENERATIONS = 80
+PATIENCE = 16
+#: Generations of an epoch on an island whose number of bins can't get smaller;
+#: fuller bins are better all the same, for loose ones are dealt anew.
+SETTLED = 3
+#: Bins that a crossover exchanges pieces with.
+TRIES = 64
 #: Epochs of evolution; the elite migrates between them.
 EPOCHS = 2
 #: Bins at least so full are final; pieces of others are dealt anew.
@@ -56,19 +65,21 @@ def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, with_id
                 part = ids[at : at + 4 * capacity]
                 for column, v in zip(rows, (k, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
                     column.append(v)
-        names = [batch.schema.names[0], "piece", "start", "length", "ids_crc32", "ids"]
-        arrays = [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:5]], pa.array(rows[5], pa.binary())]
-        n = 6 if with_ids else 5
+        names = [batch.schema.names[0], batch.schema.names[2], "piece", "start", "length", "ids_crc32", "ids"]
+        own = pa.array(rows[0], pa.int64())
+        arrays = [batch.column(0).take(own), batch.column(2).take(own), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:5]], pa.array(rows[5], pa.binary())]
+        n = 7 if with_ids else 6
         yield pa.RecordBatch.from_arrays(arrays[:n], names=names[:n])
 
 
 def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents."""
+    """(doc_id, row_id, piece, start, length, ids_crc32[, ids]) of all documents.
+    ``row_id`` tells rows of ``docs`` apart that share a doc_id."""
     path = path or default_path()
-    out = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
+    out = T.StructType([docs.schema["doc_id"], T.StructField("row_id", T.LongType()), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
     if with_ids:
         out = out.add("ids", T.BinaryType())
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, path, capacity, with_ids), out)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id")).mapInArrow(lambda it: _pieces(it, path, capacity, with_ids), out)
 
 
 # -- one island -----------------------------------------------------------
@@ -98,8 +109,47 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> float:
     return float(((fill / capacity) ** 2).sum() / max(1, len(fill)))
 
 
-def crossover(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """``taker`` with some well-filled bins of ``giver`` put in whole."""
+def exchanged(sizes: np.ndarray, child: np.ndarray, loose: list[int], used: int, capacity: int, rng: np.random.Generator, tries: int) -> list[int]:
+    """Fill bins better by exchanging one or two of their pieces for one or two
+    loose ones that take more of the room; what comes out is smaller and easier to
+    place.  Looks at ``tries`` bins; returns the pieces that are loose then."""
+    loose = sorted(loose, key=lambda i: int(sizes[i]))
+    held: dict[int, list[int]] = {}
+    for i, b in enumerate(child.tolist()):
+        if b >= 0:
+            held.setdefault(b, []).append(i)
+    for b in rng.permutation(used)[:tries].tolist():
+        mine = held.get(b, [])
+        room = capacity - int(sizes[mine].sum()) if mine else 0
+        if not room or len(loose) < 2:
+            continue
+        have = sizes[loose]
+        best, swap = 0, None
+        outs = [(i,) for i in mine] + [(i, j) for k, i in enumerate(mine) for j in mine[:k]]
+        for out in outs[:24]:
+            size = int(sizes[list(out)].sum())
+            one = int(np.searchsorted(have, size + room, side="right")) - 1
+            if one >= 0 and have[one] - size > best:
+                best, swap = int(have[one]) - size, (out, (one,))
+            mate = np.searchsorted(have, size + room - have, side="right") - 1
+            fits = np.flatnonzero((mate >= 0) & (mate < np.arange(len(have))))
+            if len(fits):
+                total = have[fits] + have[mate[fits]]
+                k = int(total.argmax())
+                if total[k] - size > best:
+                    best, swap = int(total[k]) - size, (out, (int(fits[k]), int(mate[fits[k]])))
+        if swap:
+            out, into = swap
+            coming = [loose[k] for k in into]
+            child[list(out)], child[coming] = -1, b
+            held[b] = [i for i in mine if i not in out] + coming
+            loose = sorted([x for k, x in enumerate(loose) if k not in into] + list(out), key=lambda i: int(sizes[i]))
+    return loose
+
+
+def crossover(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: np.random.Generator, tries: int = 0) -> np.ndarray:
+    """``taker`` with some well-filled bins of ``giver`` put in whole; the pieces
+    that this displaces are exchanged with those of ``tries`` bins, then best-fitted."""
     fill = np.bincount(giver, weights=sizes) / capacity
     well = np.flatnonzero(fill >= max(0.9, float(np.quantile(fill, 0.5))))
     if not len(well):
@@ -120,6 +170,8 @@ def crossover(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity:
     _, ids = np.unique(giver[injected], return_inverse=True)
     child[injected] = ids + used
     used += int(ids.max()) + 1
+    if tries:
+        loose = np.array(exchanged(sizes, child, loose.tolist(), used, capacity, rng, tries), dtype=np.int64)
     placed = child >= 0
     left = capacity - np.bincount(child[placed], weights=sizes[placed], minlength=used).astype(np.int64)
     room = sorted((int(r), b) for b, r in enumerate(left) if r)
@@ -138,15 +190,15 @@ def evolve(sizes: np.ndarray, immigrants: list[np.ndarray], capacity: int, seed:
         bins = np.full(len(sizes), -1, dtype=np.int64)
         best_fit(sizes, np.argsort(-(sizes + noise), kind="stable").tolist(), bins, [], 0, capacity)
         pool.append((fitness(sizes, bins, capacity), bins))
-        if bins.max() + 1 == least:
-            return bins
-    for _ in range(generations):
+    idle = 0
+    for turn in range(generations):
         pool.sort(key=lambda x: -x[0])
-        if pool[0][1].max() + 1 == least:
+        if idle >= PATIENCE or (turn >= SETTLED and pool[0][1].max() + 1 == least):
             break
         a, b = rng.choice(len(pool), 2, replace=False)
-        child = crossover(sizes, pool[a][1], pool[b][1], capacity, rng)
+        child = crossover(sizes, pool[a][1], pool[b][1], capacity, rng, 0 if pool[0][1].max() + 1 == least else TRIES)
         f = fitness(sizes, child, capacity)
+        idle = 0 if f > pool[0][0] else idle + 1
         if f > pool[-1][0]:
             pool[-1] = (f, child)
     return max(pool, key=lambda x: x[0])[1]
