@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,17 +24,52 @@ def join(left: DataFrame, right: DataFrame, on: Column, kind: str, prefix: str)
     return left.join(right, on, {"semi": "left_semi", "anti": "left_anti"}.get(kind, kind))
 
 
-def _with_maps(df: DataFrame, work) -> DataFrame:  # noqa: ANN001
-    """Run ``work`` with maps as sorted entries, since maps don't compare."""
-    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
-    if not maps:
-        return work(df)
-    packed = df.withColumns({m: F.array_sort(F.map_entries(col(m))) for m in maps})
-    return work(packed).withColumns({m: F.map_from_entries(col(m)) for m in maps})
+def _holds_map(t: T.DataType) -> bool:
+    match t:
+        case T.MapType():
+            return True
+        case T.ArrayType():
+            return _holds_map(t.elementType)
+        case T.StructType():
+            return any(_holds_map(f.dataType) for f in t.fields)
+    return False
+
+
+def comparable(c: Column, t: T.DataType) -> Column:
+    """A value with its maps, at any depth, as sorted entries: maps don't compare."""
+    if not _holds_map(t):
+        return c
+    match t:
+        case T.MapType():
+            return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), comparable(e["value"], t.valueType).alias("value"))))
+        case T.ArrayType():
+            return F.transform(c, lambda x: comparable(x, t.elementType))
+    return F.when(c.isNotNull(), F.struct(*[comparable(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+
+
+def _restored(c: Column, t: T.DataType) -> Column:
+    """What ``comparable`` was made of."""
+    if not _holds_map(t):
+        return c
+    match t:
+        case T.MapType():
+            return F.map_from_entries(F.transform(c, lambda e: F.struct(e["key"], _restored(e["value"], t.valueType))))
+        case T.ArrayType():
+            return F.transform(c, lambda x: _restored(x, t.elementType))
+    return F.when(c.isNotNull(), F.struct(*[_restored(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+
+
+def _compared(work: Callable[..., DataFrame], *frames: DataFrame) -> DataFrame:
+    """Run ``work`` on frames of one schema in a form that compares."""
+    held = {f.name: f.dataType for f in frames[0].schema.fields if _holds_map(f.dataType)}
+    if not held:
+        return work(*frames)
+    out = work(*[df.withColumns({n: comparable(col(n), t) for n, t in held.items()}) for df in frames])
+    return out.withColumns({n: _restored(col(n), t) for n, t in held.items()})
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
-    return _with_maps(df, lambda d: d.distinct())
+    return _compared(DataFrame.distinct, df)
 
 
 def combine(left: DataFrame, right: DataFrame, op: str, all_rows: bool) -> DataFrame:
@@ -42,18 +77,15 @@ def combine(left: DataFrame, right: DataFrame, op: str, all_rows: bool) -> DataF
     right = right.select([col(c) for c in left.columns])
     if op == "union" and all_rows:
         return left.union(right)
-    maps = [f.name for f in left.schema.fields if isinstance(f.dataType, T.MapType)]
-    pack = lambda d: d.withColumns({m: F.array_sort(F.map_entries(col(m))) for m in maps}) if maps else d
-    a, b = pack(left), pack(right)
-    out = a.union(b).distinct() if op == "union" else a.intersect(b) if op == "intersect" else a.subtract(b)
-    return out.withColumns({m: F.map_from_entries(col(m)) for m in maps}) if maps else out
+    work = {"union": lambda a, b: a.union(b).distinct(), "intersect": DataFrame.intersect, "except": DataFrame.subtract}[op]
+    return _compared(work, left, right)
 
 
 def dedup_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each key: the first by all other columns, ascending.  Only
     the best row of a key leaves a task before the shuffle."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    rest = [F.array_sort(F.map_entries(col(c))) if isinstance(kinds[c], T.MapType) else col(c) for c in df.columns if c not in keys]
+    rest = [comparable(col(c), kinds[c]) for c in df.columns if c not in keys]
     order = [nulls_last(c) for c in rest] or [F.lit(1)]
     window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
     return df.withColumn("__nth", F.row_number().over(window)).filter("__nth = 1").drop("__nth")

@@ -105,6 +105,27 @@ def test_dedup_and_sort_put_nulls_last(tables):
     assert rows(tables, "model x { from odd select { n = n, f = f, id = id } dedup by n sort { n desc } }") == [(5, 2.0, 1), (0, 0.0, 2), (-3, -1.5, 4), (None, None, 3)]
 
 
+def test_maps_compare_at_any_depth(spark):
+    from modelgraph.operators import relational as rel
+
+    df = spark.sql("""
+      SELECT 1 AS id, map('a', 1, 'b', 2) AS m, named_struct('x', array(map('k', map('p', 1)))) AS s UNION ALL
+      SELECT 1, map('b', 2, 'a', 1), named_struct('x', array(map('k', map('p', 1)))) UNION ALL
+      SELECT 1, map('a', 1, 'b', 2), named_struct('x', array(map('k', map('p', 2)))) UNION ALL SELECT 2, NULL, NULL UNION ALL SELECT 2, NULL, NULL""")
+    assert rel.distinct_rows(df).count() == 3 and rel.distinct_rows(df).schema.simpleString() == df.schema.simpleString()
+    few = df.limit(1)
+    assert rel.combine(df, few, "except", False).count() == 2 and rel.combine(df, few, "intersect", False).collect()[0].s.x == [{"k": {"p": 1}}]
+    assert rel.combine(df, few, "union", False).count() == 3 and rel.dedup_by(df, ["id"]).count() == 2
+
+
+def test_json_is_parsed_once_for_all_outputs(tables):
+    text = """model x { from odd let d = json_get(doc, "a") select { a = json_get(d, "b"), n = json_is_null(json_get(doc, "n")), t = json_value(doc, "t"), c = json_build("q", d) } }"""
+    df = Project.from_text(TEXT + text).frame("x", tables)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert [tuple(r) for r in df.collect()][0] == ("[1,2]", True, "q's", '{"q":{"b":[1,2]}}')
+
+
 def test_windows_without_order(tables):
     assert odd(tables, "rank() over (partition_by: [n])", "sum(id) over (sort: [id])")[-1] == (1, 15)
 
