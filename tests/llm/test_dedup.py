@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -7,12 +8,34 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modelgraph.llm import embedding_dedup, line_dedup, ngram_join, suffix_dedup
+from modelgraph.llm import common, embedding_dedup, line_dedup, ngram_join, suffix_dedup
 from modelgraph.llm.common import components
 
 from .fixtures import documents, empty, rows, saved
 
 
+# -- scratch
+def test_a_cluster_needs_a_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace as Some
+
+    made = lambda master, known: Some(conf=Some(get=lambda key, other: known or other), sparkContext=Some(master=master))
+    assert common.shared_dir(made("yarn", "s3://bucket/x/")) == "s3://bucket/x"
+    assert common.shared_dir(made("local[4]", None)).startswith("file:/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(made(master, None))
+
+
+def test_release_deletes_scratch_tables(spark, tmp_path):
+    kept = common._ROOTS[:]
+    common._ROOTS.clear()
+    df = common.stored(spark.range(3), "some")
+    path = df.inputFiles()[0].removeprefix("file://")
+    common.release()
+    assert not os.path.exists(path) and not common._ROOTS
+    common._ROOTS.extend(kept)
+
+
 # -- suffix arrays
 def brute_repeats(docs, length):
     seen, out = set(), {}
