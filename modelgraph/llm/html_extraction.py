@@ -1,18 +1,23 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped into lines, one for each block of text; what menus, adverts,
-forms and the like hold becomes a gap of empty lines.  Text lengths (without
-link text) are summed over sliding windows of lines.  Where the sums surge from
-zero a stretch of text begins, where they dive to zero it ends, and the lines
-between are kept if the stretch is dense enough.  What stands in the same element
-as dense text is kept too, so that an advert in the middle of an article doesn't
-cost the lines behind it.  A page that marks its article gives weight to the lines
-inside it only.
+Markup is stripped into lines, one for each block of text; the bounds of containers
+stay as empty lines, and what menus, adverts, forms and the like hold becomes a gap
+of them.  Text lengths (in lists without link text) are summed over sliding windows
+of lines.  Where the sums surge from zero a stretch of text begins, where they dive
+to zero it ends, and the lines between are kept if the stretch is dense.
+
+What the distribution finds is then completed: sparse lines stay that stand in the
+same element as dense text, or between dense stretches of one parent, so that an
+advert in the middle of an article doesn't cost the lines behind it.  If dense text
+stands in an element that marks an article, the main text is that article, whole.
+On a page too short to have dense text, lines of a marked article count alone.
 
 Defined cases: null or empty html gives the empty text; a page cut off in the
 middle of a tag or element is read as far as it goes; character references
-without a meaning stay as they are; repeated pages give equal rows; pages of any
-length are read whole, in one pass.
+without a meaning stay as they are; repeated pages give equal rows; an empty table
+gives an empty result; ties don't arise, all stretches that are dense enough stay;
+extra columns don't enter the plan; pages of any length are read whole, in one pass
+whose time grows with the length.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +37,13 @@ from .common import table
 
 #: Lines in a sliding window.
 WINDOW = 3
-#: Characters that a stretch's fullest window holds at least, outside a marked article.
+#: Characters that the fullest window of a dense stretch holds at least.
 DENSE = 120
+#: Empty lines for a bound of a container.
+BOUND = 2
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)|[^<]+|<""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)|[^<]+|<""", re.S)
+_ATTR = re.compile(r"""([a-zA-Z][a-zA-Z0-9:_-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select option title".split())
@@ -45,6 +53,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
 #: Elements that belong to the text of the element they stand in.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr caption figure figcaption".split())
+#: Of these, the ones whose link text counts: a title or paragraph may be a link.
+LINKED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption caption".split())
+#: Elements that are the page as a whole.
+ROOT = frozenset("html body".split())
 #: Words of class and id names that mark what surrounds the main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus"
@@ -55,6 +67,8 @@ MARKS = frozenset(
 LAYOUT = frozenset("with without has no".split())
 #: Last words of names that hold main text, and first words of the names of its parts.
 CONTENT, OWN = frozenset("content article main body".split()), frozenset("entry post article story".split())
+#: What "related" boxes list.
+LISTED = frozenset("articles content items links list news posts stories topics".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -74,6 +88,7 @@ def _drops(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     whole, part, content = False, False, False
     for words in ([w.lower() for w in _WORDS.findall(name)] for name in names):
         marks = [k for k, w in enumerate(words) if w in MARKS and not (k and words[k - 1] in LAYOUT)]
+        marks = [k for k in marks if words[k] != "related" or len(words) == 1 or words[k + 1 : k + 2] and words[k + 1] in LISTED]
         if words and words[-1] in ("header", "masthead") and (inside or words[0] in OWN):
             marks = [k for k in marks if k < len(words) - 1]  # the heading of the article itself
         whole |= bool(marks) and len(words) == 1
@@ -86,54 +101,73 @@ def _marks_article(tag: str, attrs: dict[str, str]) -> bool:
     return tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "") == "articleBody"
 
 
-def lines(page: str) -> list[tuple[str, int, bool, tuple[int, int]]]:
-    """(text, characters of link text, inside a marked article, elements) of each
-    block; a gap of empty lines where something was dropped.
+@dataclass(frozen=True)
+class Line:
+    """A block of text and where it stands; elements are named by their place in
+    the page, 0 is the page itself."""
+
+    text: str = ""
+    weight: int = 0
+    article: int = 0  # the element that marks an article
+    own: int = 0  # the innermost container
+    holder: int = 0  # the container that it stands in, a container of its own aside
+    parent: int = 0  # the container of the innermost one
+
+
+_EMPTY = Line()
+
+
+@dataclass
+class _Open:
+    """An element that isn't closed yet; where its text would stand."""
 
-    The elements are the innermost one that isn't textual and the one that holds
-    the block; 0 is the page."""
-    out: list[tuple[str, int, bool, tuple[int, int]]] = []
+    tag: str
+    drops: bool = False
+    article: int = 0
+    own: int = 0
+    parent: int = 0
+    block: str = ""  # the innermost element that isn't inline, if that is textual
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks of text, with empty lines for the bounds of containers and for
+    what was dropped."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, drops, marks the article, place in the page
+    page_itself = _Open("")
+    stack: list[_Open] = []
     opened: Counter[str] = Counter()
-    dropped = articles = links = linked = 0
-
-    def around() -> tuple[int, int]:
-        k = len(stack)
-        while k and stack[k - 1][0] in INLINE:
-            k -= 1
-        top = k
-        while k and (stack[k - 1][0] in TEXTUAL or stack[k - 1][0] in INLINE):
-            k -= 1
-        own = stack[k - 1][3] if k else 0
-        holder = own if k < top else stack[k - 2][3] if k > 1 else 0  # text may stand in a div of its own
-        return own, holder
+    dropped = links = linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, min(linked, len(text)), articles > 0, around()))
+                at = stack[-1] if stack else page_itself
+                weight = len(text) if at.block in LINKED else len(text) - min(linked, len(text))
+                out.append(Line(text, weight, at.article, at.own, at.own if at.block else at.parent, at.parent))
             parts.clear()
         linked = 0
 
-    def gap() -> None:
+    def bound(tag: str, drops: bool, marks: bool) -> None:
+        """An element begins or ends."""
+        if tag in INLINE and not drops:
+            return
         flush()
-        out.extend([("", 0, False, (0, 0))] * WINDOW)
+        out.extend([_EMPTY] * (WINDOW if drops or marks else 0 if tag in TEXTUAL or tag in ROOT else BOUND))
 
     def pop() -> str:
-        nonlocal dropped, articles, links
-        tag, drops, marks, _ = stack.pop()
-        opened[tag] -= 1
-        if marks:
-            flush()
-        dropped -= drops
-        articles -= marks
-        links -= tag == "a"
-        if drops or marks:
-            gap()
-        return tag
+        nonlocal dropped, links
+        x = stack[-1]
+        marks = x.article > (stack[-2].article if len(stack) > 1 else 0)
+        if not dropped:
+            bound(x.tag, False, marks)
+        stack.pop()
+        opened[x.tag] -= 1
+        dropped -= x.drops
+        links -= x.tag == "a"
+        return x.tag
 
     end = len(page)
     at = 0
@@ -150,9 +184,8 @@ def lines(page: str) -> list[tuple[str, int, bool, tuple[int, int]]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:  # an end tag
-            if tag not in INLINE:
-                if not dropped:
-                    flush()
+            if not opened[tag] and tag not in INLINE and not dropped:
+                flush()
             while opened[tag] and pop() != tag:
                 pass
             continue
@@ -163,46 +196,40 @@ def lines(page: str) -> list[tuple[str, int, bool, tuple[int, int]]]:
                     flush()
             continue
         attrs = _attributes(m[3] or m[6] or "")
-        if tag in ("p", "li", "option", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
+        if tag in ("p", "li", "option", "tr", "dt", "dd") and stack and stack[-1].tag == tag:
             pop()
-        drops = _drops(tag, attrs, articles > 0)
+        over = stack[-1] if stack else page_itself
+        drops = _drops(tag, attrs, over.article > 0)
         marks = not dropped and not drops and _marks_article(tag, attrs)
-        if not dropped:
-            if tag in RAW:
-                flush() if tag not in INLINE else None  # nothing stands there, so no gap
-            elif drops or marks:
-                gap()
-            elif tag not in INLINE:
+        if tag in RAW:  # nothing stands there, so no gap
+            if not dropped and tag not in INLINE:
                 flush()
-            elif tag in ("td", "th"):
-                parts.append(" ")
-        if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        stack.append((tag, drops, marks, at))
+        if not dropped:
+            bound(tag, drops, marks)
+            if tag in ("td", "th"):
+                parts.append(" ")
+        x = _Open(tag, drops, at if marks else over.article, over.own, over.parent, over.block)
+        if tag in TEXTUAL:
+            x.block = tag
+        elif tag not in INLINE and tag not in ROOT:
+            x.own, x.parent, x.block = at, over.own, ""
+        stack.append(x)
         opened[tag] += 1
         dropped += drops
-        articles += marks
         links += tag == "a"
     if not dropped:
         flush()
     return out
 
 
-def extract(page: str | None) -> str:
-    """The main text: blocks in page order, joined by two line ends."""
-    if not page:
-        return ""
-    found = lines(page)
-    marked = any(inside and text for text, _, inside, _ in found)
-    weights = [0 if marked and not inside else len(text) - linked for text, linked, inside, _ in found]
-    if not any(weights):
-        marked, weights = False, [len(text) for text, *_ in found]
-    n = len(weights)
+def stretches(weights: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, line behind the last, fullest window) of each stretch, from a
+    surge of the window sums to their dive."""
+    n, out, i = len(weights), [], 0
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    stretches: list[tuple[int, int, int]] = []  # first line, line behind the last, fullest window
-    i = 0
     while i < n:
         if not sums[i]:
             i += 1
@@ -216,22 +243,42 @@ def extract(page: str | None) -> str:
         last = stop - 1  # the dive: from here on the windows are empty
         while not weights[last]:
             last -= 1
-        stretches.append((start, last + 1, max(sums[i:stop])))
+        out.append((start, last + 1, max(sums[i:stop])))
         i = stop
-    if not stretches:
-        return ""
-    most = max(s for _, _, s in stretches)
-    floor = 1 if marked else min(DENSE, most)
+    return out
+
+
+def extract(page: str | None) -> str:
+    """The main text: blocks in page order, joined by two line ends."""
+    found = lines(page) if page else []
+    weights = [x.weight for x in found]
+    if not any(weights):  # a page of links has no other text
+        weights = [len(x.text) for x in found]
+    if max((s for *_, s in stretches(weights)), default=0) < DENSE and any(x.article and w for x, w in zip(found, weights, strict=True)):
+        weights = [w if x.article else 0 for x, w in zip(found, weights, strict=True)]
+    runs = stretches(weights)
+    floor = min(DENSE, max((s for *_, s in runs), default=0))
+    dense = [k for k, (_, _, s) in enumerate(runs) if s >= floor]
+    spans = {k: [i for i in range(*runs[k][:2]) if weights[i]] for k in range(len(runs))}
+    articles = {found[i].article for k in dense for i in spans[k]} - {0}
+    if articles:
+        inside = [i for i, x in enumerate(found) if x.article in articles]
+        first = {a: min(i for i in inside if found[i].article == a and weights[i]) for a in articles}
+        last = {a: max(i for i in inside if found[i].article == a and weights[i]) for a in articles}
+        return "\n\n".join(found[i].text for i in inside if found[i].text and first[found[i].article] <= i <= last[found[i].article])
     held: Counter[int] = Counter()  # characters that dense stretches have in each element
-    for a, b, s in stretches:
-        for k in range(a, b) if s >= floor else ():
-            held.update({e: weights[k] for e in set(found[k][3])})
+    around: dict[int, list[int]] = {}  # the dense stretches below a parent
+    for k in dense:
+        for i in spans[k]:
+            held.update({e: weights[i] for e in {found[i].own, found[i].holder}})
+            if found[i].parent:
+                around.setdefault(found[i].parent, []).append(k)
     keep = []
-    for a, b, s in stretches:
+    for k, (a, b, s) in enumerate(runs):
         if s < floor:  # from the first to the last line that stands with dense text
-            near = [k for k in range(a, b) if weights[k] and any(held[e] >= floor for e in found[k][3])]
+            near = [i for i in spans[k] if held[found[i].own] >= floor or held[found[i].holder] >= floor or (p := around.get(found[i].parent)) and p[0] < k < p[-1]]
             a, b = (near[0], near[-1] + 1) if near else (a, a)
-        keep += [found[k][0] for k in range(a, b) if found[k][0] and (not marked or found[k][2])]
+        keep += [found[i].text for i in range(a, b) if found[i].text]
     return "\n\n".join(keep)
 
 
