@@ -33,8 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (known or _local_root()).rstrip("/")
 
 
-def _clean() -> None:
-    for spark, path in _ROOTS:
+def release() -> None:
+    """Delete the scratch tables made so far; frames that read them are void then.
+    Long sessions call it between jobs, the driver's exit does anyway."""
+    while _ROOTS:
+        spark, path = _ROOTS.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,7 +49,7 @@ def _clean() -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; deleted when the driver exits."""
     if not _ROOTS:
-        atexit.register(_clean)
+        atexit.register(release)
     path = f"{shared_dir(spark)}/modelgraph-{uuid.uuid4().hex[:12]}-{name}"
     _ROOTS.append((spark, path))
     return path

@@ -21,8 +21,10 @@ manifest by the attempt that succeeded, so a lost executor leaves no half file
 in the result.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come
-first; repeated rows are documents of their own, side by side; an empty table
-has no file and gives an empty result; a document may span any number of blocks.
+first; repeated rows are documents of their own, side by side, and rows that share
+or lack a doc_id stand in the order of a hash of their ids; an empty table has no
+file and gives an empty result; a document may span any number of blocks; extra
+columns, of any names, don't enter the plan.
 """
 
 from __future__ import annotations
@@ -285,7 +287,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     for r in counted.collect():  # at most one row for each id of the vocabulary
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts).tobytes()
-    dealt = tokens.repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # the hash parts rows that share or lack a doc_id
+    dealt = tokens.withColumn("_hash", F.xxhash64("ids")).repartitionByRange(shuffle_parts(spark), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").drop("_hash")
     manifest = stored(dealt.mapInArrow(lambda it: _written(it, folder, lengths, kind), "part long, path string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
