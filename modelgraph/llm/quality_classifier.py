@@ -8,13 +8,17 @@ The n-grams are byte trigrams of the text and n-grams of word shapes (letter
 case, marks around the letters, and whether the word stood a like distance
 before, which shows copied runs).  Both kinds are hashed to ``FEATURES`` slots.
 
-The fit uses at most ``max_train`` labelled rows, those with the smallest hash
-of doc_id, so it is bounded; every document is scored.
+The fit uses at most ``max_train`` labelled documents, those with the smallest
+hash of doc_id (the smallest text of a repeated one), and of these the first ones
+until their texts hold ``MAX_TRAIN_BYTES``, so it is bounded in rows and bytes;
+every document is scored.
 
 Defined cases: a null or empty text has no n-gram and gets the score of the
 intercept; rows of ``labels`` that are null or contradict each other aren't
 learnt from; without rows of both classes every score is the share of ones
-(0.5 without any); repeated documents get equal scores.
+(0.5 without any); repeated documents get equal scores; equal hashes of doc_id are
+taken by doc_id; texts of any length are read whole; an empty table gives an empty
+result; extra columns, of any names, are never inputs.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +39,8 @@ from .common import table, utf8
 FEATURES = 1 << 18
 #: Bound on the labelled rows that the model is fitted on.
 MAX_TRAIN = 8000
+#: Bound on the bytes of their texts.
+MAX_TRAIN_BYTES = 128_000_000
 EPOCHS = 20
 #: Bound of the dual variables.
 C = 0.5
@@ -207,6 +213,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str, max_train: int = M
     labels = table(spark, sf_dir, "labels").filter(~held_out()).filter("quality IN (0, 1) AND doc_id IS NOT NULL")
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_most")).filter("label = _most")
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", F.col("label").cast("int").alias("label"))
-    model = train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").limit(4 * max_train))
+    # of a doc_id's texts one is learnt from, so ``max_train`` bounds the rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    # over at most ``max_train`` rows, so one task may hold the window
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < MAX_TRAIN_BYTES)
+    model = train(texts.select("text", "label"))
     out = scored(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
