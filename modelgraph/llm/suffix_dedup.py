@@ -13,7 +13,9 @@ documents hold reaches its bucket once a task, not once a document.
 In a bucket the suffixes that share their gram are sorted deep-shallow: a
 multikey quicksort on characters of eight bytes, run over all groups at once,
 orders them to a shallow depth, and a blind trie orders each group that still
-ties there.  Groups equal over the whole length are the repeats.
+ties there.  Groups equal over the whole length are the repeats.  Strings that
+differ in their gram, or in its place, never tie, so a bucket is sorted in portions
+of ``STRINGS`` strings, and its memory follows its bytes, not its strings.
 
 A bucket that outgrows ``BUCKET_LIMIT``, for a gram stands in very many different
 places, isn't gathered: its segments stream on and are dealt anew by more of the
@@ -55,6 +57,8 @@ SLICE = 2_000_000
 BUCKET_BYTES = 22_000_000
 #: Bytes of segments that a task gathers of one bucket.
 BUCKET_LIMIT = 66_000_000
+#: Strings of a bucket that a task sorts at once.
+STRINGS = 250_000
 #: Bytes beside the gram that segments are dealt by, when they are dealt anew.
 CONTEXTS = (8, 24, 40)
 #: Segments that a task remembers as repeated.
@@ -208,9 +212,9 @@ def multikey(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -
 
 
 def equal_groups(raw: bytes, at: np.ndarray, group: np.ndarray, length: int) -> Iterator[np.ndarray]:
-    """Indices of suffixes that are equal over ``length`` bytes, group by group."""
-    padded = raw + bytes(8)
-    words = _words(padded, ">u8")
+    """Indices of suffixes that are equal over ``length`` bytes, group by group
+    (8 bytes of padding are expected)."""
+    words = _words(raw, ">u8")
     shallow = min(SHALLOW, length // 8 * 8)
     index, group = multikey(words, at, group, shallow)
     if not len(index):
@@ -268,7 +272,7 @@ def _pack(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.ndarr
     return zstandard.ZstdCompressor(level=6).compress(head + body)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, memoryview]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -278,7 +282,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         out.append(np.frombuffer(raw, kind, n, at))
         at += size * n
     docs, places, tags, runs, offsets = out
-    return docs, tags, places, runs, offsets, raw[at:]
+    return docs, tags, places, runs, offsets, memoryview(raw)[at:]
 
 
 def _span_rows(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -351,37 +355,67 @@ def _dealt(batches: Iterable[pa.RecordBatch], length: int, buckets: int) -> Iter
             yield _out(rows)
 
 
+def _portions(total: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges, by the running ``total`` (0 first), that hold up to ``limit`` each;
+    what holds more by itself comes alone."""
+    at = 0
+    while at < len(total) - 1:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def repeats(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.ndarray, offsets: np.ndarray, body: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spans (docs, tags, starts, ends) of strings that start earlier elsewhere,
-    among a bucket's segments."""
-    sizes = runs.astype(np.int64) + length - 1
+    among a bucket's segments (8 bytes of padding are expected behind ``body``)."""
+    runs, offsets = runs.astype(np.int64), offsets.astype(np.int64)
+    sizes = runs + length - 1
     ends = np.cumsum(sizes)
     starts = ends - sizes
     at = starts + offsets
-    words = _words(body + bytes(8))
+    words = _words(body)
     gram = _gram_hash(words, at, at + 8)
     _, group, counts = np.unique(gram, return_inverse=True, return_counts=True)
     maybe = np.flatnonzero(counts[group] > 1)
-    maybe = maybe[np.lexsort((places[maybe], tags[maybe], docs[maybe]))]
+    out = [(docs[:0], tags[:0], places[:0], places[:0])]
+    if len(maybe):
+        maybe = maybe[np.lexsort((places[maybe], tags[maybe], docs[maybe], group[maybe]))]
+        new = np.flatnonzero(np.r_[True, group[maybe][1:] != group[maybe][:-1], True])
+        for f, t in _portions(np.r_[0, np.cumsum(runs[maybe])][new], STRINGS):
+            out += _repeats_among(maybe[new[f] : new[t]], docs, tags, places, runs, offsets, starts, group, body, length)
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))  # type: ignore[return-value]
+
+
+def _repeats_among(maybe: np.ndarray, docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.ndarray, offsets: np.ndarray, starts: np.ndarray, group: np.ndarray, body: bytes, length: int) -> Iterator[tuple]:
+    """Spans among the segments ``maybe``: whole groups, each in order of (doc, tag,
+    place)."""
     # equal segments: all strings of the later ones are repeated
     seen: dict[bytes, int] = {}
     whole, left = [], []
-    a, b = starts.tolist(), ends.tolist()
-    for i in maybe.tolist():
-        k = seen.setdefault(body[a[i] : b[i]], i)
+    a = starts[maybe]
+    for i, s, e in zip(maybe.tolist(), a.tolist(), (a + runs[maybe] + length - 1).tolist(), strict=True):
+        k = seen.setdefault(body[s:e], i)
         if k == i:
             left.append(i)
         elif docs[k] != docs[i] or tags[k] != tags[i] or places[k] != places[i]:
             whole.append(i)
-    rest = np.array(left, dtype=np.int64)
-    rest = rest[np.bincount(group[rest], minlength=len(counts))[group[rest]] > 1] if len(rest) else rest
-    out = [(docs[whole], tags[whole], places[whole], places[whole] + sizes[whole])]
-    if len(rest):
-        n = runs[rest].astype(np.int64)
-        owner = np.repeat(rest, n)
-        i = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        # strings with their gram at the same place can be equal
-        key = group[owner].astype(np.int64) * 256 + (offsets[owner].astype(np.int64) - i)
+    del seen
+    if whole:
+        yield docs[whole], tags[whole], places[whole], places[whole] + runs[whole] + length - 1
+    _, inverse, counts = np.unique(group[left], return_inverse=True, return_counts=True)
+    rest = np.array(left, dtype=np.int64)[counts[inverse] > 1]
+    if not len(rest):
+        return
+    # strings with their gram at the same place can be equal
+    grams = length - GRAM + 1
+    n, offset = runs[rest], offsets[rest]
+    each = np.cumsum(np.bincount(offset - n + 1, minlength=grams + 1) - np.bincount(offset + 1, minlength=grams + 1))[:grams]
+    for low, high in _portions(np.r_[0, np.cumsum(each)], STRINGS):
+        first = np.clip(offset - high + 1, 0, n)
+        m = np.clip(offset - low + 1, 0, n) - first
+        owner = np.repeat(rest, m)
+        i = np.arange(len(owner)) - np.repeat(np.cumsum(m) - m - first, m)
+        key = group[owner] * grams + offsets[owner] - i
         place = places[owner] + i
         marked = np.zeros(len(owner), dtype=bool)
         for members in equal_groups(body, starts[owner] + i, key, length):
@@ -393,8 +427,7 @@ def repeats(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, runs: np.nda
             new = np.r_[True, (np.diff(hit) > 1) | (owner[hit][1:] != owner[hit][:-1])]
             f = hit[new]
             t = hit[np.r_[new[1:], True]]
-            out.append((docs[owner[f]], tags[owner[f]], place[f], place[t] + length))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))  # type: ignore[return-value]
+            yield docs[owner[f]], tags[owner[f]], place[f], place[t] + length
 
 
 def _finer(bucket: int, part: tuple, length: int, context: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -425,6 +458,14 @@ def _finer(bucket: int, part: tuple, length: int, context: int) -> Iterator[tupl
         yield int(finer[o[0]]), 0, 0, _pack(docs[x], tags[x], places[x] + sh, m, offsets[x].astype(np.int64) - sh, text)
 
 
+def _spans(parts: list[tuple], length: int) -> list[tuple]:
+    """Rows of the spans that a bucket's ``parts`` hold; empties the list."""
+    arrays = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+    body = b"".join([*[p[5] for p in parts], bytes(8)])
+    parts.clear()
+    return [(-1, d, t, x) for d, t, x in _span_rows(*repeats(*arrays, body, length))]
+
+
 def _sorted(batches: Iterable[pa.RecordBatch], length: int, level: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; those of bucket -1 are passed on.  Gives spans,
     as rows of bucket -1, and the rows of a bucket that is dealt anew."""
@@ -450,11 +491,7 @@ def _sorted(batches: Iterable[pa.RecordBatch], length: int, level: int = 0) -> I
                 parts.clear()
         if not parts:
             continue
-        arrays = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-        body = b"".join(p[5] for p in parts)
-        parts.clear()
-        spans = repeats(*arrays, body, length)
-        found = [(-1, d, t, x) for d, t, x in _span_rows(*spans)]
+        found = _spans(parts, length)
         for k in range(0, len(found), 5000):
             yield _out(found[k : k + 5000])
 
@@ -484,24 +521,34 @@ def _applied(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[pa
     import zstandard
 
     press = zstandard.ZstdDecompressor()
-    for whole in batches:
-        for batch in chunks([whole], "_text", 8_000_000):
-            rows = []
-            texts, spans = batch.column(batch.schema.get_field_index("_text")), batch.column(batch.schema.get_field_index("_spans"))
-            for text, data in zip(texts, spans, strict=True):
-                value = None if text.as_py() is None else press.decompress(text.as_py()).decode("utf-8", "surrogatepass")
-                raw, gone, kept, at = utf8(value), union(data.as_py() or []), [], 0
-                for s, e in gone:
-                    kept.append(raw[at:s])
-                    at = e
-                rest = b"".join([*kept, raw[at:]])
-                left = rest.decode("utf-8", "ignore") if gone else value
-                rows.append((len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), left, [{"start": s, "end": e} for s, e in gone]))
-            c = list(zip(*rows, strict=True))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            new = [*[pa.array(x, pa.int64()) for x in c[:3]], pa.array(c[3], pa.string()), pa.array(c[4], pa.string()), pa.array(c[5], span)]
-            old = [batch.column(batch.schema.get_field_index(f"_c{k}")) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*old, *new], names=[*names, *_NEW])
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*rows, strict=True))
+        new = [*[pa.array(x, pa.int64()) for x in c[:3]], pa.array(c[3], pa.string()), pa.array(c[4], pa.string()), pa.array(c[5], span)]
+        old = [batch.column(batch.schema.get_field_index(f"_c{k}")) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*old, *new], names=[*names, *_NEW])
+
+    for batch in batches:
+        rows: list[tuple] = []
+        size = start = 0
+        texts, spans = batch.column(batch.schema.get_field_index("_text")), batch.column(batch.schema.get_field_index("_spans"))
+        for text, data in zip(texts, spans, strict=True):
+            value = None if text.as_py() is None else press.decompress(text.as_py()).decode("utf-8", "surrogatepass")
+            raw, gone, kept, at = utf8(value), union(data.as_py() or []), [], 0
+            for s, e in gone:
+                kept.append(raw[at:s])
+                at = e
+            rest = b"".join([*kept, raw[at:]])
+            left = rest.decode("utf-8", "ignore") if gone else value
+            rows.append((len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), left, [{"start": s, "end": e} for s, e in gone]))
+            # by the length of the texts: how far they were compressed says little
+            size += len(raw)
+            if size >= 8_000_000:
+                yield made(batch.slice(start, len(rows)), rows)
+                start, rows, size = start + len(rows), [], 0
+        if rows:
+            yield made(batch.slice(start), rows)
 
 
 _NEW = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed"]

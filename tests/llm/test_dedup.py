@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -98,6 +99,56 @@ def test_multikey_quicksort_finds_the_ties():
         assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def test_suffix_dedup_sorts_a_bucket_in_portions(monkeypatch):
+    # near copies: almost every segment shares its gram, but few are equal as a whole
+    rng = random.Random(6)
+    base = bytes(rng.randrange(97, 123) for _ in range(3000))
+    texts = []
+    for _ in range(30):
+        text = bytearray(base)
+        for at in range(rng.randrange(130), len(text), 130):
+            text[at] = rng.randrange(97, 123)
+        texts.append(bytes(text))
+    want = {i: r[1:3] for i, r in brute_repeats([(i, t.decode()) for i, t in enumerate(texts)], 100).items()}
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    raw = b"".join(texts)
+    first, last, place = suffix_dedup.segments(raw, starts, ends, 100)
+    docs = np.searchsorted(starts, first, side="right") - 1
+    body = b"".join(raw[a:b] for a, b in zip(first.tolist(), (last + 100).tolist(), strict=True))
+    blob = suffix_dedup._pack(docs, np.zeros(len(docs), dtype=np.int64), first - starts[docs], last - first + 1, place - first, body)
+
+    def found():
+        tracemalloc.start()
+        spans = {}
+        for out in suffix_dedup._sorted([suffix_dedup._out([(0, 0, 0, blob)])], 100):
+            for r in out.to_pylist():
+                spans.setdefault(r["doc"], []).append(r["data"])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        gone = {d: suffix_dedup.union(x) for d, x in spans.items()}
+        assert {i: (sum(e - s for s, e in gone.get(i, [])), len(gone.get(i, []))) for i in want} == want
+        return most
+
+    for limit in (10_000, 500):  # the latter also cuts groups
+        monkeypatch.setattr(suffix_dedup, "STRINGS", limit, raising=False)
+        assert found() < 20 * len(body)
+
+
+def test_suffix_dedup_gives_long_texts_in_portions():
+    import pyarrow as pa
+
+    text = "x" * 3_000_000
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None, text, text, "", text]), pa.array(range(6))], names=["text", "_c0"])
+    squeezed = pa.Table.from_batches(suffix_dedup._squeezed([batch])).combine_chunks()
+    whole = squeezed.append_column("_spans", pa.array([[np.array([0, 10]).tobytes()], *[None] * 5], pa.list_(pa.binary()))).to_batches()
+    assert len(whole) == 1
+    out = list(suffix_dedup._applied(whole, ["doc_id"]))
+    assert [b.column(0).to_pylist() for b in out] == [[0, 1, 2, 3], [4, 5]]
+    assert [n for b in out for n in b.column(1).to_pylist()] == [3_000_000, 0, 3_000_000, 3_000_000, 0, 3_000_000]
+    assert [n for b in out for n in b.column(2).to_pylist()] == [10, 0, 0, 0, 0, 0]
+
+
 def test_suffix_dedup_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "q" * 50 + "r" * 80), (1, "q" * 50 + "r" * 80), (None, "q" * 50 + "r" * 80)], "doc_id long, text string")
     got = sorted(((r.doc_id is None, r.n_removed) for r in suffix_dedup.deduplicated(df, ["doc_id"]).collect()))
