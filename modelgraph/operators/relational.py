@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +92,29 @@ def dedup_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("__nth", F.row_number().over(window)).filter("__nth = 1").drop("__nth")
 
 
+def grouped(df: DataFrame, keys: dict[str, Column], cells: dict[str, Column]) -> DataFrame:
+    """A row for each key, with named aggregates."""
+    return df.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[c.alias(n) for n, c in cells.items()])
+
+
+def ranks(df: DataFrame, keys: dict[str, Column], parts: Sequence[str], places: dict[str, tuple[bool, list[tuple[str, bool]]]]) -> DataFrame:
+    """Ranks by key: ``places`` has of each whether it is dense, and the keys it
+    sorts by.  A rank is one more than the rows of all keys before."""
+    counted = grouped(df, keys, {"__n": F.count(F.lit(1))})
+    cells = []
+    for name, (dense, order) in places.items():
+        window = Window.partitionBy(*[col(p) for p in parts]).orderBy(*[nulls_last(col(n), d) for n, d in order])
+        before = F.sum("__n").over(window.rowsBetween(Window.unboundedPreceding, -1))
+        cells.append((F.dense_rank().over(window) if dense else F.coalesce(before, F.lit(0)) + 1).cast("long").alias(name))
+    return counted.select(*[col(k) for k in keys], *cells)
+
+
+def beside(df: DataFrame, keyed: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Each row with the row of its key, where null is a key too."""
+    on = [value.eqNullSafe(col(n)) for n, value in keys.items()]
+    return df.join(keyed, functools.reduce(lambda a, b: a & b, on), "left")
+
+
 def expand(df: DataFrame, source: str, to: str) -> DataFrame:
     """A row for each element; none for a null or empty array."""
     return df.withColumn(to, F.explode(col(source)))

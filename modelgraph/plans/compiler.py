@@ -25,7 +25,7 @@ from ..functions import find
 from ..functions.catalog import Arguments, Function
 from ..functions.strings import like
 from ..operators import relational as rel
-from ..types import BOOL, FLOAT64, INT64, JSON, STRING, UNKNOWN, Column, Type, Typed, arithmetic, fits, least_upper, parse_type, to_spark
+from ..types import BOOL, FLOAT64, INT64, JSON, STRING, UNKNOWN, UUID, Column, Type, Typed, arithmetic, fits, least_upper, parse_type, to_spark
 
 if TYPE_CHECKING:
     from .project import Project
@@ -78,6 +78,32 @@ class Compiled:
     fingerprint: str
     lower: Callable[[Callable[[str], DataFrame]], DataFrame]
     grouped: bool = False
+    loose: bool = False  # whether another run over the same tables may give other rows
+
+
+@dataclass
+class _Window:
+    """A window of an output."""
+
+    name: str  # of the column, if it is joined
+    fn: Function
+    parts: list[Bound]
+    keys: list[tuple[Bound, bool]]
+    made: Emit
+    typed: Typed
+    nested: bool  # whether it is made of other windows
+
+    @property
+    def partition(self) -> frozenset[int]:
+        return frozenset(map(id, self.parts))
+
+    @property
+    def keyed(self) -> bool:
+        """Whether the value follows from the row's keys and how often each occurs."""
+        used = [*self.parts, *(k for k, _ in self.keys)]
+        if self.nested or not used or not all(_plain(k) for k in used):
+            return False
+        return self.fn.name in ("rank", "dense_rank") if self.keys else self.fn.aggregate
 
 
 class _Outer:
@@ -115,6 +141,11 @@ class _Compiler:
         self.documents: dict[int, tuple[str, Bound]] = {}
         self.asked: set[str] = set()  # documents that what was emitted last reads
         self.parsed = False  # whether they stand beside the columns already
+        self.windows: list[_Window] = []
+        self.over = False  # whether what was bound last has a window
+        self.over_outputs: set[int] = set()
+        self.joined_windows: set[str] = set()  # those that stand beside the columns already
+        self.loose = False
 
     # -- names
     def input(self, name: str) -> dict[str, Column]:
@@ -124,6 +155,7 @@ class _Compiler:
                 raise ModelError("E021", f"source {name!r} declares no columns")
             return {c.name: c for c in columns}
         if name in self.project.compiled:
+            self.loose |= self.project.compiled[name].loose
             return self.project.compiled[name].schema
         if name in self.project.models:
             raise ModelError("E024", f"model {name!r} isn't checked yet")
@@ -164,6 +196,7 @@ class _Compiler:
             case ir.Ref():
                 found = self.resolve(e, look)
                 self.reads |= {(o.node, o.column) for o in found.origins}
+                self.over |= id(found) in self.over_outputs
                 return found
             case ir.Unary(op, arg):
                 a = self.bind(arg, look, use)
@@ -248,6 +281,7 @@ class _Compiler:
         if e.distinct:
             made = lambda: F.count_distinct(args[0].emit())
         name = f"__a{len(self.aggregated)}"
+        self.loose |= not _repeats(fn, typed)
         kind = to_spark(typed.type)
         self.aggregated.append((name, lambda: made().cast(kind)))
         origins = tuple(dataclasses.replace(o, kind="aggregated") for a in args for o in a.origins)
@@ -282,11 +316,15 @@ class _Compiler:
         if any(isinstance(a, ir.Star) for a in e.call.args):
             raise ModelError("E064", "write count() over (...)")
         plain = _Outer(where="a window")
+        self.over = False
         args = self.arguments(e.call, look, plain)
         parts = [self.bind(p, look, plain) for p in e.partition_by]
         keys = [(self.bind(k, look, plain), d) for k, d in e.sort]
+        nested, self.over = self.over, True
         typed, made = applied(fn, e.call, args)
         ranking = not fn.aggregate and fn.name not in ("first_value", "last_value")
+        w = _Window(f"__w{len(self.windows)}", fn, parts, keys, made, typed, nested)
+        self.windows.append(w)
 
         def over() -> SparkColumn:
             if fn.aggregate and not parts and not keys and self.frame is not None:
@@ -294,13 +332,41 @@ class _Compiler:
                 return self.frame.agg(made()).scalar().cast(to_spark(typed.type))
             if fn.name in ("rank", "dense_rank") and not keys:
                 return F.lit(1).cast("long")  # all rows are peers
-            w = Window.partitionBy(*[p.emit() for p in parts])
+            if w.name in self.joined_windows:
+                return rel.col(w.name)
+            spec = Window.partitionBy(*[p.emit() for p in parts])
             order = [rel.nulls_last(k.emit(), d) for k, d in keys] or ([F.lit(1)] if ranking else [])
-            return made().over(w.orderBy(*order) if order else w).cast(to_spark(typed.type))
+            return made().over(spec.orderBy(*order) if order else spec).cast(to_spark(typed.type))
 
         origins = tuple(dataclasses.replace(o, kind="windowed") for a in (*args, *parts, *(k for k, _ in keys)) for o in a.origins)
         return Bound(typed, over, tuple(dict.fromkeys(origins)))
 
+    def join_windows(self, df: DataFrame) -> DataFrame:
+        """Windows that follow from a row's keys are made of one row for each key
+        and joined to the rows: a task would else hold all rows of a partition.
+        Where another window of that partition is left, they stay beside it.  The
+        rows are read twice, so these have to be the same both times."""
+        literal = ("rank", "dense_rank")
+        windows = [] if self.loose else [w for w in self.windows if w.keys or (w.parts if w.fn.aggregate else w.fn.name not in literal)]
+        held = {w.partition for w in windows if not w.keyed}
+        groups: dict[tuple[frozenset[int], frozenset[int]], list[_Window]] = {}
+        for w in windows:
+            if w.partition not in held and w.keyed:
+                groups.setdefault((w.partition, frozenset(id(k) for k, _ in w.keys)), []).append(w)
+        rows = df
+        for ws in groups.values():
+            bound = {id(b): b for b in [*ws[0].parts, *(k for k, _ in ws[0].keys)]}
+            names = {i: f"{ws[0].name}_{j}" for j, i in enumerate(bound)}
+            keys = {names[i]: b.emit() for i, b in bound.items()}
+            if ws[0].keys:
+                places = {w.name: (w.fn.name == "dense_rank", [(names[id(k)], d) for k, d in w.keys]) for w in ws}
+                keyed = rel.ranks(rows, keys, [names[id(p)] for p in ws[0].parts], places)
+            else:
+                keyed = rel.grouped(rows, keys, {w.name: w.made().cast(to_spark(w.typed.type)) for w in ws})
+            df = rel.beside(df, keyed, keys)
+            self.joined_windows |= {w.name for w in ws}
+        return df
+
     # -- statements
     def run(self) -> Compiled:
         for s in self.model.statements:
@@ -478,10 +544,13 @@ class _Compiler:
             self.outputs.append((name, self.bind(e, self.after_group, _Outer(aggregates=True, where="a group body"))))
             return
         use = _Outer(windows=True)
+        self.over = False
         if self.grouped:
             self.outputs.append((name, self.bind(e, self.after_group, use)))
         else:
             self.outputs.append((name, self.bind(e, self.lateral, use)))
+        if self.over:
+            self.over_outputs.add(id(self.outputs[-1][1]))
 
     def lateral(self, name: str) -> Bound | None:
         """Columns first; names only outputs have may be used further on."""
@@ -548,9 +617,10 @@ class _Compiler:
                 df = df.withColumns({n: F.try_parse_json(b.emit()) for n, b in self.documents.values() if n in self.asked})
                 self.parsed = True
             self.frame = df
+            df = self.join_windows(df)
             hidden = [b.emit().alias(n) for n, b, _ in sorts if b is not None]
             df = df.select(*[b.emit().cast(to_spark(b.type)).alias(n, metadata={"logical": str(b.type)}) for n, b in named.items()], *hidden)
-            self.parsed, self.frame = False, None
+            self.parsed, self.frame, self.joined_windows = False, None, set()
             if distinct:
                 df = rel.distinct_rows(df)
             if dedup:
@@ -565,6 +635,7 @@ class _Compiler:
         return Compiled(
             model=m, schema=schema, lineage={n: b.origins for n, b in named.items()}, reads=self.reads, depends=depends,
             inputs=list(self.inputs), joins=self.checks, fingerprint=fingerprint(self.project, m, depends), lower=lower, grouped=grouped,
+            loose=self.loose or taken is not None or not all(_repeats(w.fn, w.typed) for w in self.windows),
         )
 
     def verify_incremental(self, schema: dict[str, Column]) -> None:
@@ -602,6 +673,17 @@ def _derived(*parts: Bound) -> tuple[Origin, ...]:
     return tuple(dict.fromkeys(o if o.kind in keep else dataclasses.replace(o, kind="derived") for p in parts for o in p.origins))
 
 
+def _plain(key: Bound) -> bool:
+    """Whether a window's key is a value of the rows that groups and joins."""
+    t = key.type
+    return (t.numeric or t.temporal or t.name == "money" or t in (STRING, BOOL, UUID)) and bool(key.origins)
+
+
+def _repeats(fn: Function, typed: Typed) -> bool:
+    """Whether a function gives the same value in whatever order it meets its rows."""
+    return fn.name in ("count", "min", "max", "rank", "dense_rank") or (fn.name == "sum" and typed.type != FLOAT64)
+
+
 def applied(fn: Function, e: ir.Call, args: list[Bound], documents: tuple[Emit | None, ...] = ()) -> tuple[Typed, Emit]:
     """Check a call and give its type and its column."""
     a = Arguments(e.name, tuple(x.typed for x in args), e.args, documents)

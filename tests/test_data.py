@@ -130,6 +130,45 @@ def test_windows_without_order(tables):
     assert odd(tables, "rank() over (partition_by: [n])", "sum(id) over (sort: [id])")[-1] == (1, 15)
 
 
+def test_windows_that_follow_from_keys_hold_no_partition(spark):
+    for name in ("window_ranking", "window_aggregates"):
+        plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("windowspecdefinition(o_custkey") == {"window_ranking": 1, "window_aggregates": 4}[name]
+        assert "windowspecdefinition(o_orderstatus" not in plan and plan.count("Join LeftOuter") == 1  # a row for each key, beside the rows
+
+
+def test_windows_by_odd_keys(spark):
+    part, sort = [None, "a", "b", ""], [1.5, 0.0, -0.0, None, float("nan"), -2.0]
+    data = [(i, part[i % 4], sort[i % 6], [None, 3, 1][i % 3]) for i in range(60)]
+    text = "source s { columns: { id: int64 nonnull, k: string, f: float64, n: int64 } } "
+    sources = Sources(spark, {"s": spark.createDataFrame(data, "id long, k string, f double, n long")})
+    up = lambda f: (f is None, f != f, 0.0 if f is None or f != f else f)  # noqa: E731  nulls last, NaN before them
+    down = lambda f: (f is None, f == f, 0.0 if f is None or f != f else -f)
+    got = Project.from_text(text + """model x { from s select { id = id, u = rank() over (partition_by: [k], sort: [f]), d = dense_rank() over (partition_by: [k], sort: [f desc]), w = rank() over (sort: [f desc]),
+      t = sum(n) over (partition_by: [upper(k), n]), c = count(n) over (partition_by: [f]), v = u + d } sort { id } }""").frame("x", sources).collect()
+    assert len(got) == 60
+    for (i, k, f, n), r in zip(data, got, strict=True):
+        peers = [x for x in data if x[1] == k]
+        u, d = 1 + sum(up(x[2]) < up(f) for x in peers), 1 + len({down(x[2]) for x in peers if down(x[2]) < down(f)})
+        t = [x[3] for x in peers if x[3] == n and n is not None]
+        c = sum(x[3] is not None for x in data if x[2] == f or (x[2] != x[2] and f != f and None not in (x[2], f)))
+        assert tuple(r) == (i, u, d, 1 + sum(down(x[2]) < down(f) for x in data), sum(t) if t else None, c, u + d)
+    one = Project.from_text(text + "model x { from s filter id > 99 select { u = rank() over (partition_by: [k], sort: [f]), t = sum(n) over (partition_by: [k]) } }")
+    assert one.frame("x", sources).collect() == []
+
+
+def test_windows_of_rows_that_may_differ_or_of_windows_stay(tables):
+    plan = lambda text: Project.from_text(TEXT + text).frame("x", tables)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = "select { id = id, r = rank() over (partition_by: [s], sort: [n]) }"
+    assert "Join" in plan(f"model x {{ from odd {ranked} }}")
+    assert "Join" not in plan(f"model y {{ from odd take 3 }} model z {{ from y }} model x {{ from z {ranked} }}")
+    assert "Join" not in plan(f"model y {{ from odd select {{ id = row_number() over (partition_by: [s], sort: [n]), n = n, s = s }} }} model x {{ from y {ranked} }}")
+    assert "Join" not in plan("model y { from odd group {n} ( aggregate { s = avg(f), id = count() } ) } model x { from y select { r = rank() over (sort: [s]), t = sum(id) over (partition_by: [s]) } }")
+    assert "Join" not in plan(f"model y {{ from odd select {{ id = id, n = row_number() over (), s = s }} }} model x {{ from y {ranked} }}")
+    assert "Join" not in plan("model x { from odd select { v = row_number() over (partition_by: [s]), t = sum(n) over (partition_by: [s]), r = rank() over (partition_by: [s], sort: [n]) } }")
+    assert odd(tables, "rank() over (partition_by: [n], sort: [f])", "row_number() over (sort: [id])", "sum(v0) over (partition_by: [f])", "sum(v1) over (partition_by: [n])") == [(1, 1, 2, 6), (1, 2, 1, 2), (1, 3, 1, 3), (1, 4, 1, 4), (1, 5, 2, 6)]
+
+
 def test_pins_and_tests(tables):
     p = Project.from_text(TEXT + """contract C { order_id: int64 nonnull unique  country: string nonnull enum {ES, MX, BR, CO} }
       model x -> contract C { from orders } model y { from refunds } test x { expect row_count == 5  expect order_id > 0  expect country != "FR" } test y { expect order_id in x.order_id  expect row_count < 3 }""")
